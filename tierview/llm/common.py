@@ -6,7 +6,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +39,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+#: Rows that one (key, salt) group should hold at most, and the fewest salts.
+GROUP_ROWS, LEAST_SALTS = 1_000_000, 64
+
+
+def rank_in_group(df: DataFrame, key: str, tie: list[str], out: str, rows: int) -> DataFrame:
+    """Adds ``out``: 0, 1, ... within each ``key``, gapless, in order of a hash of ``tie``.
+
+    A key's rows are dealt over salts, ranked inside (key, salt) and offset by the counts of
+    earlier salts, so no task needs all rows of a key. ``rows``: about how many rows there are.
+    """
+    salts = max(LEAST_SALTS, 1 << (rows // GROUP_ROWS).bit_length())
+    salted = df.withColumn("__tie", F.xxhash64(*tie)).withColumn("__salt", F.pmod(F.shiftrightunsigned("__tie", 40), F.lit(salts)).cast("int"))
+    before = Window.partitionBy(key).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy(key, "__salt").agg(F.count("*").alias("__n"))
+    offsets = cut(counts.select(F.col(key).alias("__k"), F.col("__salt").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")))
+    inside = Window.partitionBy(key, "__salt").orderBy("__tie", *tie)
+    joined = salted.join(offsets, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__salt") == F.col("__s")))
+    return joined.withColumn(out, F.row_number().over(inside) - 1 + F.col("__offset")).drop("__k", "__s", "__offset", "__salt", "__tie")
