@@ -48,12 +48,15 @@ class Chunk:
         return cls(row["chunk"], np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), ends, np.frombuffer(data, np.uint8))
 
 
-CHUNK_SCHEMA = "chunk long, ids binary, nulls binary, ends binary, blob binary"
+CHUNK_SCHEMA = "chunk long, ids binary, nulls binary, ends binary, blob binary, rest binary"
 LAST_ID = np.iinfo(np.int64).max
 
 
-def to_chunks(df: DataFrame, id_column: str, text: str, size: int = 4_000_000) -> DataFrame:
-    """``df`` as a written table of chunks of about ``size`` bytes of text (a longer text alone), compressed."""
+def to_chunks(df: DataFrame, id_column: str, text: str, size: int = 4_000_000, carry: list[str] | None = None) -> DataFrame:
+    """``df`` as a written table of chunks of about ``size`` bytes of text (a longer text alone), compressed.
+
+    Columns to ``carry`` go along as an Arrow stream, for ``carried``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -69,9 +72,13 @@ def to_chunks(df: DataFrame, id_column: str, text: str, size: int = 4_000_000) -
             nulls = pc.is_null(ids).to_numpy(zero_copy_only=False)
             ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
             blob = packer.compress("".join(texts.to_pylist()).encode())
-            out = [[name], [pc.fill_null(ids, int(LAST_ID)).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], [nulls.tobytes()], [ends.tobytes()], [blob]]
+            stream = pa.BufferOutputStream()
+            with pa.ipc.new_stream(stream, rows.select(range(2, rows.num_columns)).schema) as writer:
+                writer.write_table(rows.select(range(2, rows.num_columns)))
+            rest = packer.compress(stream.getvalue().to_pybytes()) if rows.num_columns > 2 else b""
+            out = [[name], [pc.fill_null(ids, int(LAST_ID)).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], [nulls.tobytes()], [ends.tobytes()], [blob], [rest]]
             name, held = name + 1, []
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["chunk", "ids", "nulls", "ends", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], ["chunk", "ids", "nulls", "ends", "blob", "rest"])
 
         filled = 0
         for batch in batches:
@@ -85,10 +92,17 @@ def to_chunks(df: DataFrame, id_column: str, text: str, size: int = 4_000_000) -
         if held:
             yield packed()
 
-    rows = df.select(df[id_column].cast("long").alias("id"), df[text].cast("string").alias("text"))
+    rows = df.select(df[id_column].cast("long").alias("__id"), df[text].cast("string").alias("__text"), *(carry or []))
     return cut(rows.mapInArrow(run, CHUNK_SCHEMA), "none")
 
 
+def carried(row: dict) -> pa.Table:
+    """The columns that a chunk carries."""
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompressobj().decompress(row["rest"])).read_all()
+
+
 def bucketed(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its keys) for each bucket that has any."""
     of = (keys >> np.uint64(32)) % np.uint64(buckets)

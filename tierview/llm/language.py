@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -165,16 +166,17 @@ def train(rows: DataFrame, settings: Settings = Settings()) -> ByteCnn:
     return net
 
 
-def identify(df: DataFrame, net: ByteCnn, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: the id, lang_pred and score."""
+def identify(df: DataFrame, net: ByteCnn, text: str = "text") -> DataFrame:
+    """``df`` with lang_pred and score; columns of these names are replaced."""
+    df = df.drop("lang_pred", "score")
+    at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = net.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"])
+            found = net.predict(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    kind = dict(df.dtypes)[id_column]
-    return df.select(df[id_column].alias("id"), df[text].alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_column)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -187,5 +189,5 @@ def fitted(docs: DataFrame, settings: Settings = Settings()) -> ByteCnn:
 
 def op9_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = identify(docs, fitted(docs))
+    found = identify(docs.select("doc_id", "text"), fitted(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert, language, minhash, ogg, packing, suffix
+from . import bpe, hilbert, language, minhash, multiindex, ogg, packing, rotation, suffix
 
-QUERIES = {f.__name__: f for f in (hilbert.op2_hilbert_shards, packing.op4_dominance_packing, bpe.op6_speculative_bpe, ogg.op7_ogg_media, minhash.op8_bayesian_minhash, language.op9_byte_cnn_language, suffix.op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        rotation.op1_perspective_rotation,
+        hilbert.op2_hilbert_shards,
+        multiindex.op3_inverted_multi_index,
+        packing.op4_dominance_packing,
+        bpe.op6_speculative_bpe,
+        ogg.op7_ogg_media,
+        minhash.op8_bayesian_minhash,
+        language.op9_byte_cnn_language,
+        suffix.op10_suffix_dedup,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_perspective_rotation": rotation.SQL}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import Chunk, Known, bucket_count, bucketed, shared_keys, to_chunks
+from .chunks import Chunk, Known, bucket_count, bucketed, carried, shared_keys, to_chunks
 from .common import cut, partitions, table
 
 LENGTH, SEED = 50, 24
@@ -269,15 +269,17 @@ def covered_windows(chunks: DataFrame, length: int = LENGTH, hot: int = HOT) ->
     return found.withColumn("covered", F.lit(None).cast("binary")).unionByName(sent.where("bucket < 0").select("chunk", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("masks"), "covered"))
 
 
-def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, spans (array of from, to) and kept (binary)."""
-    chunks = to_chunks(df, id_column, text)
+def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
+    """Per row: the columns to ``carry``, doc_id, n_bytes, n_removed, spans (array of from, to) and kept (binary)."""
+    chunks = to_chunks(df, id_column, text, carry=carry)
     found = cut(covered_windows(chunks, length, hot), "none")
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
+        rest: list[pa.Table] = []
         for row in left.to_pylist():
             chunk = Chunk.read(row)
+            rest += [carried(row)] if carry else []
             edge = np.zeros(len(chunk.data) + 1, np.int32)
             for places, masks, covered in zip(*[right.column(c).to_pylist() for c in ("places", "masks", "covered")]):
                 if covered:
@@ -302,9 +304,12 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                 rows.append((None if null else doc, b - a, b - a - len(kept), [{"from": int(x), "to": int(y)} for x, y in turn], kept))
         columns = list(zip(*rows)) or [()] * 5
         spans = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "spans", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), spans, pa.binary()))})
+        along = pa.concat_tables(rest) if rest else None
+        own = {f"__carried_{c}": along.column(c) for c in carry} if along else {}
+        return pa.table(own | {n: pa.array(c, k) for n, c, k in zip(("doc_id", "n_bytes", "n_removed", "spans", "kept"), columns, (pa.int64(), pa.int64(), pa.int64(), spans, pa.binary()))})
 
-    schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<`from`: long, `to`: long>>, kept binary"
+    kinds = dict(df.dtypes)
+    schema = "".join(f"`__carried_{c}` {kinds[c]}, " for c in carry or []) + "doc_id long, n_bytes long, n_removed long, spans array<struct<`from`: long, `to`: long>>, kept binary"
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(strip, schema)
 
 
