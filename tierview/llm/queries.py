@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hilbert, language, minhash, multiindex, ogg, packing, rotation, suffix
+from . import bpe, hilbert, language, minhash, multiindex, ogg, packing, passages, rotation, suffix
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         hilbert.op2_hilbert_shards,
         multiindex.op3_inverted_multi_index,
         packing.op4_dominance_packing,
+        passages.op5_collinear_passages,
         bpe.op6_speculative_bpe,
         ogg.op7_ogg_media,
         minhash.op8_bayesian_minhash,
