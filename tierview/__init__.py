@@ -1,0 +1 @@
+"""Contract-driven rollup views over event telemetry, on Spark."""
