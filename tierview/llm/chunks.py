@@ -62,7 +62,7 @@ def to_chunks(df: DataFrame, id_column: str, text: str, size: int = 4_000_000, c
         import zstandard
         from pyspark import TaskContext
 
-        packer, name = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
+        packer, name = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
 
         def packed() -> pa.RecordBatch:
@@ -123,12 +123,14 @@ def shared_keys(chunks: DataFrame, features: Callable[[Chunk], tuple[np.ndarray,
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, rows = features(Chunk.read(row))
-                order = np.lexsort((rows, keys))
-                keys, rows = keys[order], rows[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-                keys, counts = np.unique(keys[new], return_counts=True)
+                every, rows = features(Chunk.read(row))
+                keys, counts = np.unique(every, return_counts=True)
+                # Rows, not places, count; only keys with several places need a look.
+                again = np.flatnonzero(_in_sorted(every, keys[counts > 1]))
+                again = again[np.lexsort((rows[again], every[again]))]
+                new = np.ones(len(again), bool)
+                new[1:] = (every[again][1:] != every[again][:-1]) | (rows[again][1:] != rows[again][:-1])
+                counts[counts > 1] = np.unique(every[again[new]], return_counts=True)[1]
                 out: list[list] = [[], [], [], []]
                 for bucket, places in bucketed(keys, buckets):
                     low, n = keys[places].astype(np.uint32), counts[places]

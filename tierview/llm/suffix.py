@@ -40,7 +40,7 @@ LENGTH, SEED = 50, 24
 #: Documents that share an anchor before its windows are dealt out one by one.
 HOT = 4096
 #: Bytes of distinct pieces that one bucket should have.
-BUCKET_BYTES = 1_000_000
+BUCKET_BYTES = 2_000_000
 
 
 def mix(x: np.ndarray, multiplier: int, shift: int) -> np.ndarray:
@@ -51,8 +51,11 @@ def mix(x: np.ndarray, multiplier: int, shift: int) -> np.ndarray:
 
 def eights(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from each place on, as little-endian integers; zeros beyond the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(data), 8), (1, 1)).copy().view("<u8").ravel()
+    padded = np.concatenate([data, np.zeros(16, np.uint8)]).tobytes()
+    out = np.empty(len(data), np.uint64)
+    for k in range(min(8, len(data))):
+        out[k::8] = np.frombuffer(padded, "<u8", (len(data) - k + 7) // 8, k)
+    return out
 
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
@@ -185,7 +188,17 @@ def _pack(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.binary())) for c, n in zip(columns, names)], names)
 
 
-_PIECE = ["bucket", "chunk", "content", "owners", "places", "sizes", "data", "covered"]
+_PIECE = ["bucket", "chunk", "owners", "places", "sizes", "data", "covered"]
+
+
+def slice_hashes(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each slice, of SEED bytes to four times as many, from seeds that cover it."""
+    h = seed_hashes(data)
+    end = first + sizes - SEED
+    out = sizes.astype(np.uint64)
+    for at in (first, np.minimum(first + SEED, end), np.minimum(first + 2 * SEED, end), end):
+        out = mix(out ^ h[at], 0x9E3779B97F4A7C15, 32)
+    return mix(out, 0xFF51AFD7ED558CCD, 33)
 
 
 def covered_windows(chunks: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -202,7 +215,10 @@ def covered_windows(chunks: DataFrame, length: int = LENGTH, hot: int = HOT) ->
     wide = max(2 * partitions(spark), -(-shared * 17 // BUCKET_BYTES))
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        import zstandard
+
         out: list[tuple] = []
+        packer = zstandard.ZstdCompressor(level=3)
         for row in left.to_pylist():
             chunk = Chunk.read(row)
             p = Pieces(chunk, length)
@@ -223,22 +239,35 @@ def covered_windows(chunks: DataFrame, length: int = LENGTH, hot: int = HOT) ->
             mine = order[owners[order] == least]
             others = order[owners[order] != least]
             done = np.concatenate([first[others], last[others] + length])
-            out.append((-1, chunk.name, b"", b"", b"", b"", b"", done.astype(np.int64).tobytes()))
+            # What the chunk settles itself goes through some bucket with the rest.
+            out.append((chunk.name % wide, chunk.name, b"", b"", b"", packer.compress(b""), done.astype(np.int64).tobytes()))
             first, last, content, keys, owners = first[mine], last[mine], content[mine], keys[mine], owners[mine]
             for bucket, i in bucketed(keys, wide):
+                i = i[np.argsort(first[i])]
                 sizes = last[i] - first[i] + length
-                out.append((bucket, chunk.name, content[i].tobytes(), owners[i].tobytes(), first[i].astype(np.uint32).tobytes(), sizes.astype(np.uint8).tobytes(), gather(chunk.data, first[i], sizes).tobytes(), b""))
+                steps = np.diff(first[i], prepend=0).astype(np.uint32)
+                out.append((bucket, chunk.name, owners[i].tobytes(), steps.tobytes(), sizes.astype(np.uint8).tobytes(), packer.compress(gather(chunk.data, first[i], sizes).tobytes()), b""))
         return pa.Table.from_batches([_pack(out, _PIECE)])
 
-    schema = "bucket int, chunk long, content binary, owners binary, places binary, sizes binary, data binary, covered binary"
-    sent = cut(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(send, schema))
+    schema = "bucket int, chunk long, owners binary, places binary, sizes binary, data binary, covered binary"
+    sent = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(send, schema)
 
     def judge(group: pa.Table) -> pa.Table:
-        parts = {n: [np.frombuffer(x, t) for x in group.column(n).to_pylist()] for n, t in (("content", np.uint64), ("owners", np.int64), ("places", np.uint32), ("sizes", np.uint8), ("data", np.uint8))}
-        counts = [len(x) for x in parts["content"]]
-        content, owners, sizes, data = (np.concatenate(parts[n]) for n in ("content", "owners", "sizes", "data"))
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        parts = {n: [np.frombuffer(x, t) for x in group.column(n).to_pylist()] for n, t in (("owners", np.int64), ("places", np.uint32), ("sizes", np.uint8))}
+        parts["places"] = [np.cumsum(x, dtype=np.uint32) for x in parts["places"]]
+        counts = [len(x) for x in parts["owners"]]
+        owners, sizes = (np.concatenate(parts[n]) for n in ("owners", "sizes"))
         sizes = sizes.astype(np.int64)
+        data = np.frombuffer(b"".join([unpacker.decompress(x) for x in group.column("data").to_pylist()]), np.uint8)
+        settled = [(c, b"", b"", x) for c, x in zip(group.column("chunk").to_pylist(), group.column("covered").to_pylist()) if x]
+        names = ["chunk", "places", "masks", "covered"]
+        if not len(owners):
+            return pa.Table.from_batches([_pack(settled, names)])
         begins = np.cumsum(sizes) - sizes
+        content = slice_hashes(data, begins, sizes)
         order = np.lexsort((owners, content))
         new = np.ones(len(order), bool)
         new[1:] = content[order][1:] != content[order][:-1]
@@ -261,18 +290,17 @@ def covered_windows(chunks: DataFrame, length: int = LENGTH, hot: int = HOT) ->
         rows, done = [], 0
         for chunk, n, place in zip(group.column("chunk").to_pylist(), counts, parts["places"]):
             m = mask[done : done + n]
-            rows.append((chunk, place[m != 0].tobytes(), m[m != 0].tobytes()))
+            rows.append((chunk, place[m != 0].tobytes(), m[m != 0].tobytes(), b""))
             done += n
-        return pa.Table.from_batches([_pack(rows, ["chunk", "places", "masks"])])
+        return pa.Table.from_batches([_pack(settled + rows, names)])
 
-    found = sent.where("bucket >= 0").drop("covered").groupBy("bucket").applyInArrow(judge, "chunk long, places binary, masks binary")
-    return found.withColumn("covered", F.lit(None).cast("binary")).unionByName(sent.where("bucket < 0").select("chunk", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("masks"), "covered"))
+    return sent.groupBy("bucket").applyInArrow(judge, "chunk long, places binary, masks binary, covered binary")
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
     """Per row: the columns to ``carry``, doc_id, n_bytes, n_removed, spans (array of from, to) and kept (binary)."""
     chunks = to_chunks(df, id_column, text, carry=carry)
-    found = cut(covered_windows(chunks, length, hot), "none")
+    found = cut(covered_windows(chunks, length, hot))
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
