@@ -6,11 +6,11 @@
 3. In every band's bucket each document is paired with the bucket's first and last document
    only, never with all. Signatures are compared 16 places at a time, and a pair is dropped as soon
    as the posterior probability (uniform prior) that its similarity reaches the threshold falls below
-   ``MISS``. Each document's likeliest pairs are verified on full shingle sets and joined.
-4. What that leaves apart is settled completely: where a bucket still holds several components, each
-   document of the smaller one is compared with all signatures of the larger, in blocks of 256 that
-   are dealt out; only pairs that pass the same pruning are written, and verified on full sets, the
-   likeliest of each block first.
+   ``MISS``. Each document's two likeliest pairs are verified on full shingle sets and joined.
+4. What that leaves apart is settled on full sets. Pairs that survive pruning for a lower similarity,
+   0.7, make families, and a family that still holds several components has each document outside
+   its largest one compared with all its documents, block by block. Blocks are dealt out, and a
+   task returns only links that join components, so no group's pairs are ever written.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; fewer than five words
 make one shingle; a null id is its own component (null) and kept; rows that repeat an id share
@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import row_ranges
-from .common import cut, table
+from .common import cut, partitions, table
 from .components import components
 
-PLACES, ROWS, STEP, MISS, BLOCK, PERCENT, WORDS = 128, 4, 16, 1e-5, 256, 85, 5
+PLACES, ROWS, STEP, MISS, PERCENT, WORDS = 128, 4, 16, 1e-5, 85, 5
+#: Similarity in percent that pairs of one family may have; bytes of text in a block.
+FAMILY, BLOCK_BYTES = 70, 500_000
 WORDS_KEPT = 500_000
 
 
@@ -186,42 +188,75 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y").join(of_x, "x").join(of_y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
-def across(labels: DataFrame, bands: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """(x, y, matches, place) of all pairs of different components that meet in a bucket and survive pruning.
+def settle(labels: DataFrame, families: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) that join the components within each family, none needless within one pair of blocks.
 
-    ``place`` ranks an x's pairs within one block of the other component.
+    ``labels`` has (doc_id, component), ``families`` (doc_id, family). A family's documents outside
+    its largest component are compared on full shingle sets with all of its documents, block by
+    block: an inverted index over one block's shingles counts a document's intersections with all.
     """
-    bounds = least_matches(percent / 100)
-    met = cut(bands.join(labels, "doc_id").groupBy("key", "component").agg(F.lit(1).alias("one")))
-    mixed = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    apart = cut(met.join(mixed, "key").select("key", "component"))
-    pairs = apart.alias("p").join(apart.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component"))).select(F.col("p.component").alias("p"), F.col("q.component").alias("q")).distinct()
-    concerned = apart.select("component").distinct()
-    members = cut(labels.join(concerned, "component").join(sigs, "doc_id").select("component", "doc_id", "sig"))
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    sized = pairs.join(sizes.select(F.col("component").alias("p"), F.col("n").alias("np")), "p").join(sizes.select(F.col("component").alias("q"), F.col("n").alias("nq")), "q")
-    few = F.col("np") <= F.col("nq")
-    turned = cut(sized.select(F.when(few, F.col("p")).otherwise(F.col("q")).alias("few"), F.when(few, F.col("q")).otherwise(F.col("p")).alias("many"), F.greatest("np", "nq").alias("n")))
-    # Blocks of the larger side: members dealt by hash, about BLOCK in each.
-    wanted = turned.groupBy("many").agg(F.max("n").alias("n"))
-    dealt = members.join(wanted, F.col("component") == F.col("many")).select("many", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).alias("block"), "doc_id", "sig")
-    blocks = cut(dealt.groupBy("many", "block").agg(F.collect_list("doc_id").alias("ids"), F.collect_list("sig").alias("sigs")))
-    asked = turned.join(members.select(F.col("component").alias("few"), F.col("doc_id").alias("x"), F.col("sig").alias("sx")), "few").select("many", "x", "sx")
+    placed = cut(labels.join(families, "doc_id"))
+    size = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    # One number orders components by size, then by name.
+    rank = F.col("n").cast("decimal(17,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)") + F.col("component").cast("decimal(19,0)")
+    size = cut(size.withColumn("rank", rank.cast("decimal(38,0)")))
+    mixed = cut(size.groupBy("family").agg(F.max("rank").alias("top"), F.count("*").alias("parts")).where("parts > 1"))
+    aside = cut(size.join(mixed, "family").select("family", "component", (F.col("rank") != F.col("top")).alias("aside")))
+    chosen = placed.join(aside, ["family", "component"]).select("family", "component", "doc_id", "aside")
+    docs = cut(chosen.join(texts, "doc_id").select("family", "component", "doc_id", "aside", "text", F.octet_length("text").alias("n")))
+    bulk = cut(docs.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_BYTES).alias("blocks"), F.ceil(F.sum(F.when(F.col("aside"), F.col("n"))) / BLOCK_BYTES).alias("few_blocks")))
+    dealt = docs.join(bulk, "family")
+
+    def blocks(rows: DataFrame, count: str, prefix: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("doc_id"), F.greatest(F.col(count), F.lit(1)))
+        out = rows.groupBy("family", block.alias(f"{prefix}block")).agg(*[F.collect_list(c).alias(f"{prefix}{c}") for c in ("doc_id", "component", "text")])
+        return cut(out)
+
+    pairs = blocks(dealt.where("aside"), "few_blocks", "x_").join(blocks(dealt, "blocks", "y_"), "family")
+    pairs = pairs.repartition(2 * partitions(labels.sparkSession), "family", "x_block", "y_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
         for batch in batches:
-            xs, ys, ms, ps = [], [], [], []
-            for x, sx, ids, raw in zip(*[batch.column(c).to_pylist() for c in ("x", "sx", "ids", "sigs")]):
-                block = np.frombuffer(b"".join(raw), np.uint32).reshape(-1, PLACES)
-                alive, matches = prune(np.broadcast_to(np.frombuffer(sx, np.uint32), block.shape), block, bounds)
-                order = np.argsort(-matches, kind="stable")
-                xs += [x] * len(order)
-                ys += [ids[i] for i in alive[order]]
-                ms += matches[order].tolist()
-                ps += range(len(order))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (xs, ys, ms, ps)], ["x", "y", "matches", "place"])
-
-    return cut(asked.join(blocks, "many").select("x", "sx", "ids", "sigs").mapInArrow(run, "x long, y long, matches long, place long"))
+            xs: list[int] = []
+            ys: list[int] = []
+            for i in range(len(batch)):
+                x, xc, xt, y, yc, yt = (batch.column(c)[i].as_py() for c in ("x_doc_id", "x_component", "x_text", "y_doc_id", "y_component", "y_text"))
+                for a, b in joining(x, xc, [shingle_set(t, cache) for t in xt], y, yc, [shingle_set(t, cache) for t in yt], percent):
+                    xs.append(a)
+                    ys.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+
+    columns = [f"{p}{c}" for p in ("x_", "y_") for c in ("doc_id", "component", "text")]
+    return pairs.select(*columns).mapInArrow(run, "x long, y long")
+
+
+def joining(x: list[int], xc: list[int], xs: list[np.ndarray], y: list[int], yc: list[int], ys: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between documents x and y, one for each pair of components that isn't joined yet."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    sizes = np.array([len(s) for s in ys])
+    shingles = np.concatenate(ys)
+    owners = np.repeat(np.arange(len(ys)), sizes)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owners = shingles[order], owners[order]
+    out = []
+    for doc, component, s in zip(x, xc, xs):
+        low, high = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+        many = high - low
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        both = np.bincount(owners[at], minlength=len(ys))
+        for j in np.flatnonzero((100 * both >= percent * (len(s) + sizes - both)) & (both > 0)).tolist():
+            a, b = find(component), find(yc[j])
+            if a != b:
+                root[a] = b
+                out.append((doc, y[j]))
+    return out
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -237,21 +272,18 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     ends = cut(bands.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high"))
     bands = cut(bands.join(ends, "key").select("key", "doc_id", "low", "high"))
     pairs = bands.where("doc_id != low").select(F.col("doc_id").alias("x"), F.col("low").alias("y")).union(bands.where("doc_id != high and doc_id != low").select(F.col("doc_id").alias("x"), F.col("high").alias("y"))).distinct()
-    near = cut(likely(pairs, sigs.select("doc_id", "sig"), percent))
+    near = cut(likely(pairs, sigs.select("doc_id", "sig"), FAMILY))
     best = Window.partitionBy("x").orderBy(F.desc("matches"), "y")
     ids = bands.select("doc_id").distinct()
-    texts = cut(docs.join(ids, "doc_id", "left_semi").join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = cut(verified(near.withColumn("__n", F.row_number().over(best)).where("__n <= 2"), texts, percent))
+    texts = cut(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    sure = near.where(F.col("matches") >= least_matches(percent / 100)[-1][1])
+    links = cut(verified(sure.withColumn("__n", F.row_number().over(best)).where("__n <= 2"), texts, percent))
     found = components(links, "x", "y")
-    for every in (False, True):
-        labels = cut(ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
-        left = across(labels, bands.select("key", "doc_id"), sigs.select("doc_id", "sig"), percent)
-        more = cut(verified(left if every else left.where("place = 0"), texts, percent))
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(links, "x", "y")
-        elif left.isEmpty():
-            break
+    families = components(near, "x", "y").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    labels = families.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    more = cut(settle(labels, families, texts, percent))
+    if not more.isEmpty():
+        found = components(links.union(more), "x", "y")
     grouped = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("__component"))
     grouped = cut(grouped.groupBy("__id").agg(F.min("__component").alias("__component")))
     return (
