@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,8 +188,6 @@ def feature(payload: bytes, streams: dict[int, Stream]) -> str:
 
 def with_ogg(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
     """Adds ``out``: the binary column ``payload`` as Ogg media; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def to_ogg(x: pd.Series) -> pd.Series:
         return x.map(lambda b: None if b is None else mux(bytes(b)))
@@ -198,8 +197,6 @@ def with_ogg(df: DataFrame, payload: str, out: str = "media") -> DataFrame:
 
 def with_payload(df: DataFrame, media: str, out: str = "demuxed") -> DataFrame:
     """Adds ``out``: struct(payload, streams, pages, last_us, error) read from the Ogg column ``media``."""
-    import pandas as pd
-
     @F.pandas_udf("payload binary, streams int, pages int, last_us long, error string")
     def from_ogg(x: pd.Series) -> pd.DataFrame:
         rows = []
