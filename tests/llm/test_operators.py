@@ -278,6 +278,17 @@ def test_near_duplicate_families(spark):
     assert got == want
 
 
+def test_near_duplicates_in_crowded_buckets(spark):
+    """A short pair that is mostly a passage of thousands of long documents, so that it is never first or last of a bucket."""
+    rng = random.Random(34)
+    words = [f"v{i}" for i in range(5000)]
+    passage = rng.choices(words, k=44)
+    rows = [(i, " ".join(passage + rng.choices(words, k=58))) for i in range(3000)]
+    rows[1500:1502] = [(i, " ".join(passage + [f"{x}{k}" for k in (1, 2, 3)])) for i, x in ((1500, "x"), (1501, "y"))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(3000)} | {1501: 1500}
+
+
 def test_bayesian_bounds():
     bounds = minhash.least_matches(0.85)
     assert [n for n, _ in bounds] == list(range(16, 129, 16)) and all(0 < m < n for n, m in bounds)

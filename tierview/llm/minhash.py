@@ -3,14 +3,16 @@
 1. Each text's set of distinct 5-word shingles gets a 128-place MinHash signature; texts with equal
    sets form a class, and one row a class goes on.
 2. Signatures are cut into 32 bands of 4. Documents at similarity 0.85 share none with probability 6e-11.
-3. In every band's bucket each document is paired with the bucket's first and last document
-   only, never with all. Signatures are compared 16 places at a time, and a pair is dropped as soon
+3. In every band's bucket each document is first paired with the bucket's first and last document
+   only. Signatures are compared 16 places at a time, and a pair is dropped as soon
    as the posterior probability (uniform prior) that its similarity reaches the threshold falls below
    ``MISS``. Each document's two likeliest pairs are verified on full shingle sets and joined.
-4. What that leaves apart is settled on full sets. Pairs that survive pruning for a lower similarity,
-   0.7, make families, and a family that still holds several components has each document outside
+4. Pairs that survive pruning for a lower similarity, 0.7, make families. A bucket whose other documents
+   are of several families has the signatures of those outside its largest family compared with all of
+   them, block by block, and families with a pair that survives pruning are joined.
+5. What that leaves apart is settled on full sets. A family that still holds several components has each document outside
    its largest one compared with all its documents, block by block. Blocks are dealt out, and a
-   task returns only links that join components, so no group's pairs are ever written.
+   task returns only links that join families or components, so no group's pairs are ever written.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; fewer than five words
 make one shingle; a null id is its own component (null) and kept; rows that repeat an id share
@@ -32,8 +34,8 @@ from .common import cut, partitions, table
 from .components import components
 
 PLACES, ROWS, STEP, MISS, PERCENT, WORDS = 128, 4, 16, 1e-5, 85, 5
-#: Similarity in percent that pairs of one family may have; bytes of text in a block.
-FAMILY, BLOCK_BYTES = 70, 500_000
+#: Similarity in percent that pairs of one family may have; bytes of text and signatures in a block; pairs compared at once.
+FAMILY, BLOCK_BYTES, BLOCK_SIGNATURES, TILE = 70, 500_000, 2_000, 200_000
 WORDS_KEPT = 500_000
 
 
@@ -188,6 +190,72 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y").join(of_x, "x").join(of_y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
+def across(bands: DataFrame, families: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between families with a likely pair in one bucket, none needless within one pair of blocks.
+
+    ``bands`` has (key, doc_id, low, high), ``families`` (doc_id, family). A bucket's ``low`` and ``high``
+    have been compared with all its documents; of the others, those outside the largest family are
+    compared with all. A document that no pair put into a family is its own.
+    """
+    inner = bands.where("doc_id != low and doc_id != high").select("key", "doc_id")
+    placed = cut(inner.join(families, "doc_id", "left").select("key", "doc_id", F.coalesce("family", "doc_id").alias("family")))
+    size = cut(placed.groupBy("key", "family").agg(F.count("*").alias("n")))
+    mixed = size.groupBy("key").agg(F.max(F.struct("n", "family")).alias("top"), F.sum("n").alias("docs"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = cut(mixed.select("key", F.col("top.family").alias("top"), F.ceil(F.col("docs") / BLOCK_SIGNATURES).alias("blocks"), F.ceil((F.col("docs") - F.col("top.n")) / BLOCK_SIGNATURES).alias("few_blocks")))
+    dealt = cut(placed.join(mixed, "key").join(sigs.select("doc_id", "sig"), "doc_id"))
+
+    def blocks(rows: DataFrame, count: str, prefix: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("doc_id"), F.col(count))
+        return cut(rows.groupBy("key", block.alias(f"{prefix}block")).agg(*[F.collect_list(c).alias(f"{prefix}{c}") for c in ("family", "sig")]))
+
+    pairs = blocks(dealt.where("family != top"), "few_blocks", "x_").join(blocks(dealt, "blocks", "y_"), "key")
+    pairs = pairs.repartition(2 * partitions(bands.sparkSession), "key", "x_block", "y_block")
+    bounds = least_matches(percent / 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs: list[int] = []
+            ys: list[int] = []
+            for i in range(len(batch)):
+                x, y = (np.array(batch.column(c)[i].as_py(), np.int64) for c in ("x_family", "y_family"))
+                for a, b in joining_families(x, _matrix(batch.column("x_sig")[i].values), y, _matrix(batch.column("y_sig")[i].values), bounds):
+                    xs.append(a)
+                    ys.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
+
+    return pairs.select("x_family", "x_sig", "y_family", "y_sig").mapInArrow(run, "x long, y long")
+
+
+def joining_families(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links between families x and y of signatures that survive pruning, one for each two that aren't joined yet."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    (first, least), places = bounds[0], np.ascontiguousarray(ys[:, : bounds[0][0]].T)
+    out = []
+    tile = max(1, TILE // len(y))
+    for at in range(0, len(x), tile):
+        matches = np.zeros((len(x[at : at + tile]), len(y)), np.uint8)
+        for p in range(first):
+            matches += xs[at : at + tile, p, None] == places[p]
+        i, j = np.nonzero((matches >= least) & (x[at : at + tile, None] != y))
+        total, i, done = matches[i, j].astype(np.int64), i + at, first
+        for n, fewest in bounds[1:]:
+            total = total + (xs[i, done:n] == ys[j, done:n]).sum(axis=1)
+            keep = total >= fewest
+            total, i, j, done = total[keep], i[keep], j[keep], n
+        for a, b in zip(x[i].tolist(), y[j].tolist()):
+            c, d = find(a), find(b)
+            if c != d:
+                root[c] = d
+                out.append((a, b))
+    return out
+
+
 def settle(labels: DataFrame, families: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (x, y) that join the components within each family, none needless within one pair of blocks.
 
@@ -280,6 +348,12 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     links = cut(verified(sure.withColumn("__n", F.row_number().over(best)).where("__n <= 2"), texts, percent))
     found = components(links, "x", "y")
     families = components(near, "x", "y").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    met = cut(across(bands, families, sigs, percent))
+    if not met.isEmpty():
+        # A family's name is one of its documents, so a document not yet in a family comes in by name.
+        merged = components(met, "x", "y").select(F.col("node").alias("__node"), F.col("component").alias("__to"))
+        alone = merged.join(families, F.col("__node") == F.col("doc_id"), "left_anti").select(F.col("__node").alias("doc_id"), F.col("__to").alias("family"))
+        families = cut(families.join(merged, F.col("family") == F.col("__node"), "left").select("doc_id", F.coalesce("__to", "family").alias("family")).union(alone))
     labels = families.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     more = cut(settle(labels, families, texts, percent))
     if not more.isEmpty():
