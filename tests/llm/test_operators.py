@@ -391,6 +391,22 @@ def test_passages(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length, edits, even", [(55, 8, True), (40, 4, False), (60, 12, False)])
+def test_edited_passages(spark, length, edits, even):
+    """Copies of short passages with words substituted, at similarities from 0.9 down to 0.8."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(0, 80, 2):
+        passage = rng.choices(words, k=length)
+        places = [(2 * k + 1) * length // (2 * edits) for k in range(edits)] if even else rng.sample(range(length), edits)
+        copy = [f"edit{j}" if j in places else w for j, w in enumerate(passage)]
+        rows += [(i + k, " ".join(rng.choices(words, k=60) + part + rng.choices(words, k=60))) for k, part in enumerate((passage, copy))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["src_doc_id"] == r["doc_id"] - 1 and r["similarity"] >= 0.8 and 60 <= r["start_word"] < r["end_word"] <= 60 + length for r in got)
+    assert len({r["doc_id"] for r in got}) >= {55: 40, 40: 38, 60: 34}[length]
+
+
 def test_chaining_by_force():
     rng = random.Random(2)
     for _ in range(60):
