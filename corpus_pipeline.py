@@ -11,11 +11,16 @@ from tierview.llm.common import cut
 
 #: A document goes if its language can't be told: no letter, or a score below this.
 LEAST_SCORE = 0.3
+#: What language.identify counts as a letter.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the byte network, trained on their labelled rows, can tell."""
-    found = language.identify(docs, language.fitted(docs))
+    """Documents whose language the byte network, trained on their labelled rows, can tell; without any labelled rows, those with a letter."""
+    net = language.fitted(docs)
+    if not net.langs:
+        return docs.where(F.col("text").rlike(LETTER))
+    found = language.identify(docs, net)
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 

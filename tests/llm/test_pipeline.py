@@ -1,5 +1,6 @@
 import corpus_pipeline
 from tests.llm.test_operators import near_by_force, repeats_by_force, sample
+from tierview.llm import language
 
 
 def test_stages(spark):
@@ -22,3 +23,11 @@ def test_empty(spark):
     docs = sample(spark, empty=True)[0].select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_no_language_labelled(spark):
+    texts = ["clean text", "¿? 12 _", "½", "中", "٣", "", None]
+    docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["text"] for r in kept.collect()) == sorted(t for t in texts if t and language._LETTER.search(t)) == ["clean text", "½", "中"]
