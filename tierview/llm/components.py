@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -20,15 +20,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = now.union(now.select("y", "x"))
         least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("k"), F.least("x", "m").alias("m")))
         large = cut(both.join(least, F.col("x") == F.col("k")).where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct())
+        discard(now, least)
         least = cut(large.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("k"), "m"))
         small = large.join(least, F.col("x") == F.col("k")).where("y != m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         now = cut(small.union(least).distinct())
+        discard(large, least)
         state = _state(now)
         if state == seen:
             break
         seen = state
     roots = now.select(F.col("y").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return cut(now.select(F.col("x").alias("node"), F.col("y").alias("component")).union(roots))
+    out = cut(now.select(F.col("x").alias("node"), F.col("y").alias("component")).union(roots))
+    discard(now)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -20,8 +20,9 @@ No task sees the whole corpus:
 
 Defined cases: a null text is an empty one; a null id counts as larger than any other; rows with equal
 ids never cover each other; texts under 50 bytes lose nothing; equal texts lose all but the first;
-removal may cut a character, so ``kept`` is binary; an empty table gives an empty result; other
-columns are not read.
+removal may cut a character, so ``kept`` is binary, unless characters are kept or removed ``whole``; an empty
+table gives an empty result; other columns are not read. Windows are held equal by 64-bit hashes of the strings that
+cover them; ``HOT`` decides how windows travel, never what is removed.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import Chunk, Known, bucket_count, bucketed, carried, shared_keys, to_chunks
-from .common import cut, partitions, table
+from .common import cut, discard, partitions, table
 
 LENGTH, SEED = 50, 24
 #: Documents that share an anchor before its windows are dealt out one by one.
@@ -294,13 +295,18 @@ def covered_windows(chunks: DataFrame, length: int = LENGTH, hot: int = HOT) ->
             done += n
         return pa.Table.from_batches([_pack(settled + rows, names)])
 
-    return sent.groupBy("bucket").applyInArrow(judge, "chunk long, places binary, masks binary, covered binary")
+    found = cut(sent.groupBy("bucket").applyInArrow(judge, "chunk long, places binary, masks binary, covered binary"))
+    discard(known)
+    return found
+
 
+def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, carry: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """Per row: the columns to ``carry``, doc_id, n_bytes, n_removed, spans (array of from, to) and kept (binary).
 
-def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
-    """Per row: the columns to ``carry``, doc_id, n_bytes, n_removed, spans (array of from, to) and kept (binary)."""
+    With ``whole``, a character of which a byte goes is removed altogether, so that ``kept`` is UTF-8.
+    """
     chunks = to_chunks(df, id_column, text, carry=carry)
-    found = cut(covered_windows(chunks, length, hot))
+    found = covered_windows(chunks, length, hot)
 
     def strip(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -321,6 +327,9 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                         np.add.at(edge, on, 1)
                         np.add.at(edge, on + length, -1)
             gone = np.cumsum(edge[:-1]) > 0
+            if whole and len(gone):
+                lead = np.flatnonzero((chunk.data & 0xC0) != 0x80)
+                gone = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(lead, append=len(gone)))
             raw = chunk.data.tobytes()
             for doc, null, a, b in zip(chunk.ids.tolist(), chunk.nulls.tolist(), chunk.starts.tolist(), chunk.ends.tolist()):
                 cover = gone[a:b]
