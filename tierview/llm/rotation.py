@@ -8,7 +8,8 @@ of turns and over blocks. ``dialogues`` puts the segments of each rendering toge
 
 Defined cases: a null text is empty; a null role speaks as user ``unknown`` and has no view of
 its own; null conv_ids are one dialogue; null turns come first, and equal turns are ordered by role
-and text; repeated rows are repeated turns; marks inside a text are defused; a dialogue of system turns
+and text; repeated rows are repeated turns; marks inside a text or a speaker's name are defused, and a name's
+line ends become spaces; a dialogue of system turns
 only, or an empty table, gives no rows; other columns are not read.
 """
 
@@ -22,6 +23,8 @@ from .common import table
 SYSTEM, UNKNOWN, END = "system", "unknown", "<|end|>\n"
 #: Turn numbers that one block of a dialogue spans.
 BLOCK = 256
+#: What a speaker's name can't have in a head, and what stands for it.
+MARKS = (("<|", "< |"), ("|>", "| >"), ("\n", " "))
 
 
 def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -33,7 +36,10 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     speaker = F.coalesce("role", F.lit(UNKNOWN))
     as_role = F.when(F.col("role").eqNullSafe(F.col("participant")), "assistant").when(speaker == SYSTEM, "system").otherwise("user")
     seen = seen.withColumn("speaker", speaker).withColumn("as_role", as_role)
-    head = F.when(F.col("as_role") == "user", F.concat(F.lit("<|user:"), "speaker", F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), "as_role", F.lit("|>\n")))
+    name = F.col("speaker")
+    for mark, plain in MARKS:
+        name = F.replace(name, F.lit(mark), F.lit(plain))
+    head = F.when(F.col("as_role") == "user", F.concat(F.lit("<|user:"), name, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), "as_role", F.lit("|>\n")))
     seen = seen.withColumn("__head", head).withColumn("segment", F.concat("__head", "body", F.lit(END)))
     seen = seen.withColumn("__size", F.length("segment").cast("long")).withColumn("__block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
     whose = ["conv_id", "participant"]
@@ -68,7 +74,7 @@ s AS (
   SELECT t.conv_id, p.participant, t.turn, t.role, t.body, coalesce(t.role, 'unknown') AS speaker,
     CASE WHEN t.role = p.participant THEN 'assistant' WHEN t.role = 'system' THEN 'system' ELSE 'user' END AS as_role
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, CASE WHEN as_role = 'user' THEN '<|user:' || speaker || '|>' || chr(10) ELSE '<|' || as_role || '|>' || chr(10) END AS head FROM s),
+h AS (SELECT *, CASE WHEN as_role = 'user' THEN '<|user:' || replace(replace(replace(speaker, '<|', '< |'), '|>', '| >'), chr(10), ' ') || '|>' || chr(10) ELSE '<|' || as_role || '|>' || chr(10) END AS head FROM s),
 g AS (SELECT *, head || body || '<|end|>' || chr(10) AS segment FROM h),
 w AS (
   SELECT *, row_number() OVER o - 1 AS place,
