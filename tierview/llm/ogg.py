@@ -5,6 +5,8 @@ them with lacing values; the demuxer checks every page's checksum and sequence n
 reassembles packets across pages, separates the streams, derives each packet's time from
 granule positions (one granule is one 8-bit sample) and puts the payload together again.
 
+Streams of another kind are demultiplexed too, but have no times, as their granules mean something else.
+
 Defined cases: a null payload is an empty one for ``op7_ogg_media`` and stays null in the
 column functions; an empty payload is padded to 64 bytes; broken media give a null payload and the
 reason in ``error``, other rows are unaffected; equal payloads give equal media.
@@ -92,7 +94,7 @@ def mux(payload: bytes, streams: int = STREAMS, packet: int = PACKET, rate: int
 class Stream:
     serial: int
     packets: list[bytes]
-    #: Microseconds at which each packet begins.
+    #: Microseconds at which each packet begins; none if the rate isn't known.
     starts_us: list[int]
     pages: int
     granule: int
@@ -133,19 +135,22 @@ def demux_streams(media: bytes) -> dict[int, Stream]:
                 body, size = body + size, 0
                 packet, held = b"".join(held), []
                 if not stream.packets:
-                    rates[serial] = struct.unpack(_IDENT, packet)[1] if len(packet) == _IDENT_SIZE else RATE
-                    if not rates[serial]:
+                    rates[serial] = struct.unpack(_IDENT, packet)[1] if _ours(packet) else None
+                    if rates[serial] == 0:
                         raise OggError("a sample rate is zero")
                 else:
                     ended += len(packet)
-                stream.starts_us.append((stream.granule + ended - len(packet) * bool(stream.packets)) * 1_000_000 // rates[serial])
+                if rates[serial]:
+                    stream.starts_us.append((stream.granule + ended - len(packet) * bool(stream.packets)) * 1_000_000 // rates[serial])
                 stream.packets.append(packet)
         goes_on = bool(lacing) and lacing[-1] == 255
         if size:
             held.append(bytes(view[body : body + size]))
         partial[serial] = held if goes_on else None
         stream.granule += ended
-        if granule != NO_PACKET_ENDS and granule != stream.granule:
+        if rates.get(serial) is None:
+            stream.granule = stream.granule if granule == NO_PACKET_ENDS else granule
+        elif granule != NO_PACKET_ENDS and granule != stream.granule:
             raise OggError("a granule position doesn't match its packets")
         if flags & LAST:
             closed.add(serial)
@@ -155,6 +160,11 @@ def demux_streams(media: bytes) -> dict[int, Stream]:
     return found
 
 
+def _ours(packet: bytes) -> bool:
+    """Whether a stream's first packet names the mapping of ``mux``."""
+    return len(packet) == _IDENT_SIZE and packet[:8] == MAGIC
+
+
 def demux(media: bytes) -> tuple[bytes, dict[int, Stream]]:
     """The payload that ``mux`` stored, and its streams."""
     streams = demux_streams(media)
@@ -162,14 +172,17 @@ def demux(media: bytes) -> tuple[bytes, dict[int, Stream]]:
         raise OggError("no stream")
     idents = {}
     for s in streams.values():
-        if len(s.packets[0]) != _IDENT_SIZE or s.packets[0][:8] != MAGIC:
+        if not s.packets or not _ours(s.packets[0]):
             raise OggError("a stream of another kind")
         idents[struct.unpack(_IDENT, s.packets[0])[2]] = s
     _, _, _, n, total = struct.unpack(_IDENT, next(iter(idents.values())).packets[0])
     if sorted(idents) != list(range(n)):
         raise OggError("a stream is missing")
     parts = [idents[k].packets[1:] for k in range(n)]
-    payload = b"".join(parts[i % n][i // n] for i in range(sum(map(len, parts))))
+    packets = sum(map(len, parts))
+    if [len(p) for p in parts] != [(packets - k + n - 1) // n for k in range(n)]:
+        raise OggError("a stream has too few packets")
+    payload = b"".join(parts[i % n][i // n] for i in range(packets))
     if len(payload) != total:
         raise OggError("the payload's length is wrong")
     return payload, streams
@@ -203,7 +216,7 @@ def with_payload(df: DataFrame, media: str, out: str = "demuxed") -> DataFrame:
         for b in x:
             try:
                 data, streams = (None, {}) if b is None else demux(bytes(b))
-                rows.append((data, len(streams), sum(s.pages for s in streams.values()), max((s.starts_us[-1] for s in streams.values()), default=None), None))
+                rows.append((data, len(streams), sum(s.pages for s in streams.values()), max((s.starts_us[-1] for s in streams.values() if s.starts_us), default=None), None))
             except (OggError, struct.error) as e:
                 rows.append((None, None, None, None, str(e)))
         return pd.DataFrame(rows, columns=["payload", "streams", "pages", "last_us", "error"])
