@@ -10,7 +10,7 @@ plan has for it.
 
 Defined cases: a null text is an empty one and a piece of one token (the end id); repeated rows are
 packed each on its own; equal lengths take places in any order; an empty table gives an empty result;
-texts are tokenised whole; other columns are not read.
+texts are tokenised whole, whatever they hold; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import struct
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -40,30 +41,41 @@ class RankTokenizer:
     """The ids of a byte-level BPE file of the tokenizers library, by tiktoken, which is several times as fast.
 
     In such a file ids beyond the 256 bytes follow the merges' order, so they serve as ranks; a
-    file where they don't is left to the library.
+    file where they don't is left to the library, and so is a text that tiktoken gives up on, as it does on
+    about a million white-space characters in a row.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         byte_of = {c: b for b, c in enumerate(byte_letters())}
-        self.library = None
+        self.fast = self.held = None
         if spec["pre_tokenizer"] != BYTE_LEVEL or spec["normalizer"] or any(vocab["".join(m)] != 256 + i for i, m in enumerate(merges)):
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(path)
             return
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; added tokens are found in the text."""
-        ids = self.fast.encode(text, allowed_special="all") if self.library is None else self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        ids = None
+        if self.fast is not None:
+            try:
+                ids = self.fast.encode(text, allowed_special="all")
+            except ValueError:  # its pattern's backtracking ran out of stack
+                pass
+        return np.array(self.library().encode(text, add_special_tokens=False).ids if ids is None else ids, "<u4").tobytes()
+
+    def library(self) -> Any:
+        from tokenizers import Tokenizer
+
+        if self.held is None:
+            self.held = Tokenizer.from_file(self.path)
+        return self.held
 
 
 def pieces(df: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -142,8 +154,6 @@ def dominating(stock: Stock, size: int, capacity: int) -> tuple[int, ...] | None
     middle = _middle(stock, room, own)
     if second is not None and middle is not None and second >= middle:
         return size, first, second
-    if middle is not None and second is None and first >= room:
-        return size, first
     return None
 
 
