@@ -5,11 +5,12 @@ its greatest response (max pooling), and a softmax layer gives the languages' pr
 text's windows overlap by the widest filter less one byte, so that every byte n-gram is seen;
 the text's probabilities are the mean over all its windows, weighted by bytes.
 
-Training reads a bounded sample: at most ``docs_per_lang`` documents a language, at most
-``windows_per_doc`` windows of each. Prediction reads every byte of every text.
+Training reads a bounded sample: at most ``docs_per_lang`` documents a language and about ``docs`` in all,
+at least one of each language there is, ``windows_per_doc`` windows of each. Prediction reads every byte
+of every text; windows are batched within a text only, so that equal texts get equal results to the last bit.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; a text shorter than a
-window is padded with byte 0, which carries no response; with no labelled row every text is
+Defined cases: a null text or one without a letter (Unicode category L) is ``und`` with score 0; a text shorter
+than a window is padded with byte 0, which carries no response; with no labelled row every text is
 ``und``; equal texts get equal results; other columns never matter.
 """
 
@@ -28,7 +29,12 @@ from pyspark.sql import types as T
 from .common import table
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; signs such as ½ or ① are word characters but none."""
+    return any(m[0].isalpha() for m in _LETTERLIKE.finditer(text))
 
 
 @dataclass(frozen=True)
@@ -39,7 +45,7 @@ class Settings:
     embedding: int = 8
     docs_per_lang: int = 800
     windows_per_doc: int = 3
-    languages: int = 256
+    docs: int = 100_000
     epochs: int = 6
     batch: int = 64
     rate: float = 0.004
@@ -132,7 +138,7 @@ class ByteCnn:
         """Language and score of each text."""
         out: list[tuple[str, float]] = []
         for text in texts:
-            if not text or not self.langs or not _LETTER.search(text):
+            if not text or not self.langs or not has_letter(text):
                 out.append((UNDETERMINED, 0.0))
                 continue
             x, weights = self.windows(text.encode())
@@ -148,15 +154,21 @@ def train(rows: DataFrame, settings: Settings = Settings()) -> ByteCnn:
     """``rows`` (text, lang, key): a bounded sample is chosen by the key's hash and fitted on the driver."""
     s = settings
     rows = rows.where("lang is not null and text is not null").withColumn("__at", F.pmod(F.xxhash64("key"), F.lit(1_000_000)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
-    sample: list[tuple[str, str]] = []
+    sample: list[tuple[str, bytes]] = []
     if langs:
-        share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1_000_000, int(1.2e6 * s.docs_per_lang / counts[lang]) + 1))])
+        most = min(s.docs_per_lang, max(1, s.docs // len(langs)))
+        # A little more than is wanted is drawn by hash, and the first of each language are taken.
+        share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1_000_000, int(1.2e6 * most / counts[lang]) + 1))])
         # Pieces are cut on the executors: what comes here is docs * windows_per_doc * window bytes at most.
         cuts = [F.substring(F.col("text").cast("binary"), (F.pmod(F.xxhash64("key", F.lit(k)), F.greatest(F.octet_length("text") - s.window, F.lit(1))) + 1).cast("int"), F.lit(s.window)) for k in range(s.windows_per_doc)]
         chosen = rows.where(F.col("__at") < F.element_at(share, F.col("lang"))).select("lang", F.array(*cuts).alias("cuts"), F.xxhash64("key").alias("h"))
-        sample = [(r["lang"], bytes(c)) for r in chosen.orderBy("h").limit(2 * s.docs_per_lang * len(langs)).collect() for c in r["cuts"]]
+        taken = dict.fromkeys(langs, 0)
+        for r in chosen.orderBy("h", "lang").limit(2 * most * len(langs)).collect():
+            taken[r["lang"]] += 1
+            if taken[r["lang"]] <= most:
+                sample += [(r["lang"], bytes(c)) for c in r["cuts"]]
     net = ByteCnn(langs, s)
     if sample:
         x = np.zeros((len(sample), s.window), np.uint8)
