@@ -10,8 +10,8 @@ earlier (cell, salt) groups, from a table of counts, plus its number inside its
 that holds a third of all rows is dealt over its salts.
 
 Defined cases: null dimensions fall in slot 0; a null text has no bytes and size 1; equal rows
-take neighbouring ranks in any order; an empty table gives an empty result; other columns of the
-input, whatever their names, are carried only by ``write_shards``.
+take neighbouring ranks in any order; an empty table gives an empty result; input columns with the names of
+results (hilbert_index, shard, slot; shard_id in files) are replaced, all others are carried.
 """
 
 from __future__ import annotations
@@ -29,11 +29,23 @@ GROUP_ROWS, LEAST_SALTS = 1_000_000, 64
 
 
 def quantise_text(column: str | Column, bits: int = BITS) -> Column:
-    """A name's slot: the low bits of its CRC; null takes slot 0."""
+    """A name's slot without a look at the table: the low bits of its CRC; null takes slot 0."""
     c = F.col(column) if isinstance(column, str) else column
     return F.coalesce(F.crc32(c.cast("binary")).bitwiseAND((1 << bits) - 1), F.lit(0)).cast("int")
 
 
+def quantise_frequent(df: DataFrame, column: str, bits: int = BITS) -> Column:
+    """A name's slot: the most frequent names have one each, in order of name; all others share the last, and null takes slot 0.
+
+    So a shard's slots say which names it can hold. At most 2**bits - 2 names are read.
+    """
+    top = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit((1 << bits) - 2)
+    slot = F.when(F.col(column).isNull(), 0)
+    for i, name in enumerate(sorted(r["name"] for r in top.collect()), 1):
+        slot = slot.when(F.col(column) == name, i)
+    return slot.otherwise((1 << bits) - 1).cast("int")
+
+
 def quantise_size(column: Column, bits: int = BITS) -> Column:
     """A size's slot: its number of binary digits, so that each slot spans twice the last."""
     return F.least(F.coalesce(F.length(F.bin(column)), F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
@@ -73,7 +85,7 @@ def hilbert_shards(df: DataFrame, dims: dict[str, Column], tie: list[str], n_sha
     Rows are ordered by (index, hash of ``tie``, ``tie``); shards differ by one row at most. Give
     narrow rows: all of ``df`` is shuffled once.
     """
-    spark = df.sparkSession
+    df = df.drop("hilbert_index", "shard", "slot")
     base = cut(with_hilbert_index(df, dims, "hilbert_index", bits).withColumn("__tie", F.xxhash64(*tie)))
     total = base.count()
     salts = max(LEAST_SALTS, 1 << max(0, (total // GROUP_ROWS).bit_length()))
@@ -89,20 +101,21 @@ def hilbert_shards(df: DataFrame, dims: dict[str, Column], tie: list[str], n_sha
         .select("__i", F.col("__salt").alias("__s"), (F.col("__before") + F.col("__start")).alias("__offset"))
     )
     inside = Window.partitionBy("hilbert_index", "__salt").orderBy("__tie", *tie)
-    ranked = salted.join(offsets, (F.col("hilbert_index") == F.col("__i")) & (F.col("__salt") == F.col("__s"))).withColumn("__rank", F.row_number().over(inside) - 1 + F.col("__offset"))
+    ranked = salted.join(offsets.hint("merge"), (F.col("hilbert_index") == F.col("__i")) & (F.col("__salt") == F.col("__s"))).withColumn("__rank", F.row_number().over(inside) - 1 + F.col("__offset"))
     ranked = ranked.withColumn("shard", F.expr(f"cast((__rank * {n_shards}L) div {max(total, 1)}L as int)"))
     first = F.expr(f"(cast(shard as bigint) * {max(total, 1)}L + {n_shards - 1}L) div {n_shards}L")
     return ranked.withColumn("slot", F.col("__rank") - first).drop("__i", "__s", "__offset", "__rank", "__salt", "__tie")
 
 
-def manifest(shards: DataFrame, columns: list[str]) -> DataFrame:
-    """Per shard: rows, and the least and greatest of each column, for skipping files."""
-    return shards.groupBy("shard").agg(F.count("*").alias("rows"), *[f(c).alias(f"{how}_{c}") for c in columns for how, f in (("min", F.min), ("max", F.max))])
+def manifest(shards: DataFrame, columns: list[str], slots: list[str] | None = None) -> DataFrame:
+    """Per shard: rows, least and greatest of each of ``columns``, and the set of each of ``slots`` (quantised, so small), for skipping files."""
+    ends = [f(c).alias(f"{how}_{c}") for c in columns for how, f in (("min", F.min), ("max", F.max))]
+    return shards.groupBy("shard").agg(F.count("*").alias("rows"), *ends, *[F.sort_array(F.collect_set(c)).alias(f"set_{c}") for c in slots or []])
 
 
 def write_shards(df: DataFrame, assigned: DataFrame, key: str, path: str) -> None:
     """Writes ``df`` in curve order, a folder a shard; ``assigned`` has the unique ``key``, shard and slot."""
-    placed = df.join(assigned.select(F.col(key).alias("__k"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
+    placed = df.drop("shard_id").join(assigned.select(F.col(key).alias("__k"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
     placed.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").withColumn("shard_id", F.col("__shard")).drop("__shard", "__slot").write.partitionBy("shard_id").parquet(path)
 
 
@@ -114,6 +127,6 @@ def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    dims = {"lang": quantise_text("lang"), "source": quantise_text("source"), "size": quantise_size(F.col("size"))}
+    dims = {"lang": quantise_frequent(docs, "lang"), "source": quantise_frequent(docs, "source"), "size": quantise_size(F.col("size"))}
     out = hilbert_shards(rows, dims, ["doc_id", "text_crc32", "size"], 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert_index")
