@@ -6,7 +6,8 @@
 3. In every band's bucket each document is first paired with the bucket's first and last document
    only. Signatures are compared 16 places at a time, and a pair is dropped as soon
    as the posterior probability (uniform prior) that its similarity reaches the threshold falls below
-   ``MISS``. Each document's two likeliest pairs are verified on full shingle sets and joined.
+   ``MISS``. Survivors are verified on full shingle sets: first each document's two likeliest, then all others whose ends
+   these have not linked yet.
 4. Pairs that survive pruning for a lower similarity, 0.7, make families. A bucket whose other documents
    are of several families has the signatures of those outside its largest family compared with all of
    them, block by block, and families with a pair that survives pruning are joined.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import row_ranges
-from .common import cut, partitions, table
+from .common import cut, discard, partitions, table
 from .components import components
 
 PLACES, ROWS, STEP, MISS, PERCENT, WORDS = 128, 4, 16, 1e-5, 85, 5
@@ -190,6 +191,12 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y").join(of_x, "x").join(of_y, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``pairs`` (x, y) whose components in ``found`` (node, component) differ; a node that isn't there is its own."""
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"__{side}"))
+    return cut(pairs.select("x", "y").join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("__x", "x") != F.coalesce("__y", "y")).select("x", "y"))
+
+
 def across(bands: DataFrame, families: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Links (x, y) between families with a likely pair in one bucket, none needless within one pair of blocks.
 
@@ -347,6 +354,10 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     sure = near.where(F.col("matches") >= least_matches(percent / 100)[-1][1])
     links = cut(verified(sure.withColumn("__n", F.row_number().over(best)).where("__n <= 2"), texts, percent))
     found = components(links, "x", "y")
+    open_ = apart(sure, found)
+    if not open_.isEmpty():
+        links = cut(links.union(verified(open_, texts, percent)))
+        found = components(links, "x", "y")
     families = components(near, "x", "y").select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     met = cut(across(bands, families, sigs, percent))
     if not met.isEmpty():
@@ -356,6 +367,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
         families = cut(families.join(merged, F.col("family") == F.col("__node"), "left").select("doc_id", F.coalesce("__to", "family").alias("family")).union(alone))
     labels = families.select("doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
     more = cut(settle(labels, families, texts, percent))
+    discard(texts, bands, near)
     if not more.isEmpty():
         found = components(links.union(more), "x", "y")
     grouped = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("doc_id").alias("__id"), F.coalesce("component", "rep").alias("__component"))
