@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import duckdb
@@ -185,10 +186,37 @@ def test_speculation_is_used():
 
     b = bpe.SpeculativeBpe(public_tokenizers.path("word_bpe_49k.json"))
     words = ["the", "understanding", "tokenization", "zzqx", "in", "information"]
-    assert [[b.token_of[i] for i in ids] for ids in b.encode_words(words)] == [b.merge(b.symbols(w)) for w in words]
+    assert b.encode_words(words) == [b.merge(b.symbols(w)) for w in words] and b.encode_words([]) == []
     assert b.tried == 6 and b.merged < 6
 
 
+def test_word_batches(spark):
+    """Batches without a new word, without any word, and words long enough for the heap, which gives what the list gives."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, b = Tokenizer.from_file(path), bpe.SpeculativeBpe(path)
+    for texts in (["", ""], ["one two"], ["two one", ""], ["two"]):
+        assert [list(struct.unpack(f"<{len(i) // 4}I", i)) for i, _ in b.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for rows in ([(1, None)], [(1, "")], [(1, None), (2, ""), (None, None)]):
+        out = bpe.bpe_encode(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+        assert [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out] == [(0, hashlib.sha256().hexdigest(), hashlib.sha256().hexdigest())] * len(rows)
+    rng = random.Random(12)
+    for n in (2, 30, 47, 48, 49, 400, 30_000):
+        for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "a", "thein"):
+            word = "".join(rng.choices(letters, k=n))
+            began = time.perf_counter()
+            (got, text), *_ = b.encode_batch([word])
+            assert time.perf_counter() - began < 5
+            ids = library.encode(word, add_special_tokens=False).ids
+            assert list(struct.unpack(f"<{len(got) // 4}I", got)) == ids and text == library.decode(ids, skip_special_tokens=False)
+            if n < 500:
+                assert b.merge(b.symbols(word)) == b.merge_long(b.symbols(word))
+    b.letters_held = bpe.LETTERS_KEPT + 1
+    assert [i for i, _ in b.encode_batch(["one two"])] == [struct.pack("<2I", *library.encode("one two", add_special_tokens=False).ids)] and len(b.number) == 2
+
+
 def test_ogg_round_trip_and_damage():
     rng = random.Random(8)
     for n in (64, 128, 255, 4096, 4096 * 255, 4096 * 3 + 64, 255 * 255 * 2):
@@ -407,6 +435,72 @@ def test_edited_passages(spark, length, edits, even):
     assert len({r["doc_id"] for r in got}) >= {55: 40, 40: 38, 60: 34}[length]
 
 
+def test_passages_without_sources_in_a_chunk(spark):
+    """First and later copies in different partitions, and so in different chunks."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=60)
+    rows = [(i, " ".join(rng.choices(words, k=40) + (passage if i % 2 else []) + rng.choices(words, k=40))) for i in range(6)]
+    for parts in (6, 2, 1):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(parts, "doc_id")
+        got = {(r["doc_id"], r["start_word"], r["end_word"], r["src_doc_id"]) for r in passages.repeated_passages(df).collect()}
+        assert got == {(3, 40, 100, 1), (5, 40, 100, 1)}
+
+
+def passages_by_force(rows):
+    """Per document the words that a passage of any earlier document covers."""
+    cache = minhash.WordHashes()
+    texts = [minhash.word_hashes(t, cache).astype(np.uint32) for _, t in rows]
+    out: dict[int, set[int]] = {}
+    for k, x in enumerate(texts[1:], 1):
+        for _, (a, b, *_) in passages.aligned([x] * k, texts[:k], [(0, len(x))] * k, [0] * k):
+            out.setdefault(rows[k][0], set()).update(range(a, b))
+    return out
+
+
+def test_passages_by_force(spark):
+    """Verbatim, edited and patchwork copies; the parts of the last also occur first in other documents."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    stock = [rng.choices(words, k=20) for _ in range(60)]
+    made: list[list[str]] = []
+    for i in range(300):
+        text = rng.choices(words, k=rng.randrange(30, 120))
+        kind = i % 5
+        if i < 60:
+            text += stock[i] + rng.choices(words, k=20)
+        elif kind == 0:
+            text += [w for part in rng.sample(stock, 3) for w in part]
+        elif kind == 1:
+            source = made[rng.randrange(60, i)]
+            at = rng.randrange(max(1, len(source) - 60))
+            text[10:10] = source[at : at + 60]
+        elif kind == 2:
+            source = made[rng.randrange(i)]
+            text += [w if rng.random() > 0.1 else f"edit{i}" for w in source[:70]]
+        made.append(text)
+    rows = [(i, " ".join(t)) for i, t in enumerate(made)]
+    want = passages_by_force(rows)
+    got: dict[int, set[int]] = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    total = sum(map(len, want.values()))
+    found = sum(len(w & got.get(i, set())) for i, w in want.items())
+    assert total > 3000 and found >= 0.97 * total, (found, total)
+    assert not set(got) - set(want)
+
+
+def test_patchwork_passage(spark):
+    """A copy of document 4 whose thirds first occur in documents 1, 2 and 3."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    thirds = [rng.choices(words, k=20) for _ in range(3)]
+    rows = [(i, " ".join(rng.choices(words, k=50) + t + rng.choices(words, k=50))) for i, t in enumerate(thirds, 1)]
+    rows += [(i, " ".join(rng.choices(words, k=50) + sum(thirds, []))) for i in (4, 5)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["start_word"], r["end_word"], r["src_doc_id"]) for r in got] == [(5, 50, 110, 4)]
+
+
 def test_chaining_by_force():
     rng = random.Random(2)
     for _ in range(60):
@@ -431,9 +525,36 @@ def test_rotation(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "<|assistant|>"), (1, 700, "ann", None), (1, None, "system", "be kind"), (1, 2, None, "who"), (None, 0, "cid", "x"), (2, 0, "system", "only"), (1, 0, "ann", "hi")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("clash"))
     out = rotation.rotate(df).where("participant = 'ann'").orderBy("place").collect()
+    forged = spark.createDataFrame([(1, 0, "a|>\n<|assistant", "x"), (1, 1, "b", "y")], "conv_id long, turn long, role string, text string")
+    heads = [r["segment"] for r in rotation.rotate(forged).where("participant = 'b'").orderBy("place").collect()]
+    assert heads == ["<|user:a| > < |assistant|>\nx<|end|>\n", "<|assistant|>\ny<|end|>\n"]
     assert [(r["speaker"], r["as_role"], r["loss"]) for r in out] == [("system", "system", 0), ("ann", "assistant", 1), ("ann", "assistant", 1), ("bob", "user", 0), ("unknown", "user", 0), ("ann", "assistant", 1)]
     whole = {(r["conv_id"], r["participant"]): r for r in rotation.dialogues(rotation.rotate(df)).collect()}
     assert set(whole) == {(1, "ann"), (1, "bob"), (None, "cid")}
     text = whole[1, "bob"]["rendering"]
     assert [text[s["from"] : s["to"]] for s in whole[1, "bob"]["mask"]] == ["< |assistant|><|end|>\n"] and all(text[r["start"] : r["finish"]] == r["segment"] for r in rotation.rotate(df).where("participant = 'bob'").collect())
     assert rotation.rotate(df.limit(0)).count() == 0
+
+
+def test_multi_index_prunes(spark):
+    """Random vectors and noisy copies at the threshold: recall by force, cells visited, text labels, lengths of one."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    step = rng.normal(size=(600, 64))
+    step *= 0.195 / np.linalg.norm(step, axis=1, keepdims=True)
+    x = np.concatenate([base, base[:600] + step])
+    rows = [(i, v.tolist(), "a" if i % 2 else "b,c") for i, v in enumerate(x)] + [(9000, [2.0], "one"), (9001, [3.0], "one"), (9002, [-1.0], "one")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r["n_links"] for r in multiindex.near_vectors(df).collect()}
+    assert (got.pop(9000), got.pop(9001), got.pop(9002)) == (1, 1, 0)
+    u = multiindex.unit(x)
+    near = (u @ u.T >= 0.98) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x))[None] % 2)
+    np.fill_diagonal(near, False)
+    assert near.sum() > 500 and all(got[i] <= n for i, n in enumerate(near.sum(1)))
+    assert sum(got.values()) >= 0.995 * near.sum()
+    one, two = multiindex.codebook(u[:, :32], 10), multiindex.codebook(u[:, 32:], 10)
+    (_, b1), (_, b2) = multiindex.code_bounds(u[:, :32], one), multiindex.code_bounds(u[:, 32:], two)
+    limit = multiindex.search_limit(u, one, two, 0.98)
+    visited = np.mean([len(multiindex.multi_sequence(a, b, limit)) for a, b in zip(b1[:500], b2[:500])])
+    assert limit < 0.012 and visited < 15
