@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierview.llm import language, minhash, packing, suffix
@@ -12,7 +12,7 @@ from tierview.llm.common import cut
 #: A document goes if its language can't be told: no letter, or a score below this.
 LEAST_SCORE = 0.3
 #: What language.identify counts as a letter.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+LETTER = r"\p{L}"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,19 +25,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; documents without an id stay."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each group of near copies: that with the smallest id, of rows that share it the first by text and then by the
+    other columns. Documents without an id stay."""
+    found = minhash.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
+    kept = cut(found.select("__kept", (F.col("__kept").isNotNull() & (F.col("__rows") > 1)).alias("__again")))
+    several = kept.where("__again")
+    if several.isEmpty():
+        return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    once = docs.join(kept.where("not __again"), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(*[F.asc_nulls_last(c) for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "text")])])
+    rest = docs.join(several, docs["doc_id"] == F.col("__kept"), "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    return once.unionByName(rest)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that a document with a smaller id has."""
+    """All documents, without the passages that a document with a smaller id has; a character that loses a byte goes whole."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = suffix.remove_repeats(docs, carry=others)
-    # Half a character at the edge of a removed passage goes too.
-    text = F.try_validate_utf8(F.col("kept").cast("string"))
-    text = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    out = suffix.remove_repeats(docs, carry=others, whole=True)
+    out = out.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.length(F.col("kept").cast("string")).cast("long"))
     return out.select(*[F.col(c if c in ("text", "n_chars") else f"__carried_{c}").alias(c) for c in docs.columns])
 
 
