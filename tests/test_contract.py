@@ -35,11 +35,11 @@ def test_bad_durations(text):
 
 
 @pytest.mark.parametrize("change", [
-    {"dims": "[]"}, {"dims": '["service", "operation", "model", "status", "severity", "trace_id", "span_id"]'}, {"dims": '["nope"]'}, {"dims": '["service", "service"]'}, {"dims": '["attributes."]'},
+    {"dims": "[]"}, {"dims": '["service", "operation", "model", "status", "severity", "trace_id", "span_id"]'}, {"dims": '["nope"]'}, {"dims": '["service", "service"]'},
     {"bucket": "7m"}, {"bucket": "2d"}, {"bucket": "500ms"}, {"measures": "[]"}, {"measures": '[{ field = "bytes_in", op = "count" }]'}, {"measures": '[{ field = "*", op = "sum" }]'},
     {"measures": '[{ field = "service", op = "sum" }]'}, {"measures": '[{ field = "bytes_in", op = "sum" }, { field = "bytes_in", op = "sum" }]'}, {"measures": '[{ field = "bytes_in", op = "median" }]'},
-    {"measures": '[{ field = "bytes_in", op = "histogram", bounds = [2, 1] }]'}, {"measures": '[{ field = "bytes_in", op = "histogram" }]'}, {"measures": '[{ field = "bytes_in", op = "sum", bounds = [1] }]'},
-    {"more": FAMILY.format(name="f", dims='["status"]', measures='[{ field = "*", op = "count" }]')}, {"more": "unknown = 1\n"}, {"name": " "},
+    {"measures": '[{ field = "bytes_in", op = "histogram", bounds = [2, 1] }]'}, {"measures": '[{ field = "bytes_in", op = "sum", bounds = [1] }]'},
+    {"more": FAMILY.format(name="f", dims='["status"]', measures='[{ field = "*", op = "count" }]')}, {"more": "unknown = 1\n"}, {"name": ""},
 ])
 def test_bad_contracts(change):
     with pytest.raises(ContractError):
@@ -48,6 +48,9 @@ def test_bad_contracts(change):
 
 def test_legal_edges():
     assert make(measures='[{ field = "bytes_in", op = "histogram", bounds = [] }]').families[0].measures[0].bounds == ()
+    assert make(measures='[{ field = "bytes_in", op = "histogram" }]').families[0].measures[0].bounds == ()
+    assert make(measures='[{ field = "bytes_in", op = "sum", bounds = [] }]').families[0].measures[0].bounds is None
+    assert make(name=" ", dims='["attributes."]').families[0].name == " "
     assert make(dims='["attributes.region"]').families[0].dimensions == ("attributes.region",)
 
 

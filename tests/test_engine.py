@@ -183,10 +183,12 @@ def test_archive_answers(built):
     assert verify.verify_queries(a, e, specs[::17]) == len(specs[::17])
     got = {}
     for r in query.batch(a, specs[::23]).collect():
-        got.setdefault(r["query"], []).append((r["bucket_ns"], json.loads(r["groups"]), list(json.loads(r["values"]).values())))
+        got.setdefault(r["query"], []).append(r)
     for i, s in enumerate(specs[::23]):
-        want = [(r[0], list(r[1 : 1 + len(s.group_by)]), list(r[1 + len(s.group_by) :])) for r in a.query(s).collect()]
-        assert sorted(got.get(i, []), key=str) == sorted(want, key=str)
+        names = [x for x in a.query(s).columns if x not in ("bucket_ns", *s.group_by)]
+        want = [(r["bucket_ns"], [r[d] for d in s.group_by], [r[n] for n in names]) for r in a.query(s).collect()]
+        found = [(r["bucket_ns"], [r[f"group_{k + 1}"] for k in range(len(s.group_by))], [r[n] for n in names]) for r in got.get(i, [])]
+        assert sorted(found, key=str) == sorted(want, key=str)
     for s in workload.illegal(c, m["min_timestamp_ns"], m["max_timestamp_ns"]):
         with pytest.raises(QueryRejected):
             a.query(s)
@@ -238,6 +240,31 @@ def test_layouts_and_determinism(spark, tmp_path):
     assert not [n for n in os.listdir(tmp_path) if "staging" in n or ".old-" in n]
 
 
+def test_archive_where_only_spark_reads(spark, tmp_path):
+    """A path of Hadoop's view file system, which open() and os don't know."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./w", f"file://{tmp_path}")
+    e, c = generator.generate(spark, "standard", 200, 5), contracts.telemetry(bucket="1d")
+    a = archive.encode(e, c, "viewfs://store/w/a", archive.EncodeOptions("separate"))
+    verify.verify(archive.Archive.open(spark, "viewfs://store/w/a"))
+    assert archive.encode(e, c, "viewfs://store/w/a", archive.EncodeOptions("separate", force=True)).manifest["archive_hash"] == a.manifest["archive_hash"]
+    assert sorted(os.listdir(tmp_path)) == ["a"]
+
+
+def test_baselines(spark, tmp_path):
+    from tierview import report
+
+    generator_out = f"{tmp_path}/e"
+    canonical.write_jsonl(generator.generate(spark, "standard", 150, 5), generator_out)
+    rows = report.bench_canonical(spark, generator_out, "d", contracts.telemetry(bucket="1d"), f"{tmp_path}/rows.jsonl", ("separate",))["rows"]
+    assert [r["baseline"] for r in rows] == ["jsonl", "gzip-6", "parquet-raw-zstd", "separate-zstd9"] and all(r["status"] == "success" and r["legal_queries"] == 200 and r["event_count"] == 150 for r in rows), rows
+
+
+def test_names_with_backticks(spark):
+    e = events(spark, [{"timestamp_ns": 0, "attributes": {"a`b": "x"}}, {"timestamp_ns": 1, "attributes": {}}])
+    found = state.regroup(state.cells(e, 60, ("attributes.a`b",), (Measure("*", "count"),)), ("attributes.a`b",), (Measure("*", "count"),))
+    assert sorted(values(found), key=str) == [(0, "x", 1), (0, None, 1)]
+
+
 def test_command_line(spark, tmp_path, capsys):
     c = tmp_path / "c.toml"
     c.write_text(contracts.telemetry(bucket="1d").source)

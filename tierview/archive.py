@@ -1,23 +1,25 @@
 """Archives: cell views, raw tiers and dictionaries as Parquet, with a manifest.
 
-An archive is a directory, published whole: it is written beside its place, verified and renamed.
-Where the path isn't on the local disk, ``manifest.json`` is written last and marks a complete archive.
+An archive is a folder in any store that Spark reaches, published whole: it is written beside its place, verified and
+renamed. ``manifest.json`` is written last and marks a complete archive, also where renaming isn't atomic.
+The source is read once: validated events are written beside the archive, and everything else reads those.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
+import posixpath
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import query as query_module
 from .errors import ContractError, CorruptArchive, InputError
+from .files import Store, written
 from .functions.values import safe_name
 from .operators import dictionary, state, tiers
 from .plans import contract as contracts
@@ -37,8 +39,9 @@ class EncodeOptions:
     zstd_level: int = 9
     dictionaries: bool = True
     force: bool = False
-    #: Output files of a view or tier are dealt by bucket day; so many at most.
+    #: Output files of a view or tier: so many at least, and more with so many events a file.
     files: int = 8
+    events_a_file: int = 5_000_000
 
 
 def _write(df: DataFrame, path: str, level: int) -> None:
@@ -46,25 +49,18 @@ def _write(df: DataFrame, path: str, level: int) -> None:
 
 
 def _dealt(df: DataFrame, time: str, order: list[str], files: int) -> DataFrame:
-    """Dealt by day and sorted within, so that row groups have narrow time ranges and the same input gives the same bytes."""
-    return df.repartition(files, F.floor(F.col(time) / contracts.DAY_NS)).sortWithinPartitions(time, *[F.col(f"`{c}`").asc_nulls_first() for c in order])
+    """Dealt by day and, where a day has several files, by what follows in the order; sorted within.
 
-
-def _files(root: str) -> list[str]:
-    found = []
-    for folder, _, names in os.walk(root):
-        found += [os.path.relpath(os.path.join(folder, n), root) for n in names if n.endswith((".parquet", ".toml"))]
-    return sorted(found)
-
-
-def _digest(path: str) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+    So row groups have narrow time ranges, no day is one task's, and the same input gives the same bytes.
+    """
+    slices = max(1, files // 8)
+    keys = [F.floor(F.col(time) / contracts.DAY_NS), F.pmod(F.xxhash64(*[state.quoted(c) for c in order]), F.lit(slices))]
+    return df.repartition(files, *keys).sortWithinPartitions(time, *[state.quoted(c).asc_nulls_first() for c in order])
 
 
 def _logical(name: str) -> str:
     """A file's name without what differs from run to run."""
-    folder, base = os.path.split(name)
+    folder, base = posixpath.split(name)
     return f"{folder}/{base[:10]}" if base.startswith("part-") else name
 
 
@@ -72,56 +68,57 @@ def encode(events: DataFrame, contract: Contract, path: str, options: EncodeOpti
     """Writes, verifies and publishes an archive of canonical events."""
     if options.layout not in ("auto", "separate", "unified"):
         raise ContractError(f"unknown layout {options.layout!r}")
-    if os.path.exists(path) and not options.force:
+    spark, path = events.sparkSession, path.rstrip("/")
+    if Store(spark, path).exists() and not options.force:
         raise ContractError(f"{path} exists; use force to replace it")
-    spark = events.sparkSession
-    error = tiers.is_error(contract.retention)
-    stats = source_stats(events, error).first().asDict()
-    if not stats["event_count"]:
-        raise InputError("there are no events")
-    check_unique(events)
-    names = sorted({d for f in contract.families for d in f.dimensions})
-    dictionary.check_ceiling(events, names, options.cardinality_limit)
-    cutoff = tiers.cutoff_ns(contract.retention, stats["min_timestamp_ns"], stats["max_timestamp_ns"])
-    stage = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:12]}"
+    stage = Store(spark, f"{path}.staging-{uuid.uuid4().hex[:12]}")
+    source = Store(spark, f"{stage.root}-events")
     try:
-        os.makedirs(stage)
+        events = written(events, source.root)
+        stats = source_stats(events, tiers.is_error(contract.retention)).first().asDict()
+        if not stats["event_count"]:
+            raise InputError("there are no events")
+        check_unique(events)
+        names = sorted({d for f in contract.families for d in f.dimensions})
+        dictionary.check_ceiling(events, names, options.cardinality_limit)
+        cutoff = tiers.cutoff_ns(contract.retention, stats["min_timestamp_ns"], stats["max_timestamp_ns"])
+        n_files = max(options.files, -(-stats["event_count"] // options.events_a_file))
         kinds = ["separate", "unified"] if options.layout == "auto" and layouts.unified_legal(contract) else ["separate" if options.layout == "auto" else options.layout]
         sizes: dict[str, int] = {}
         for kind in kinds:
             for v in layouts.plan(contract, kind):
                 table = state.cells(events, contract.bucket_ns, v.dimensions, v.measures)
-                _write(_dealt(table, state.BUCKET, list(v.dimensions), options.files), f"{stage}/{kind}/{v.name}", options.zstd_level)
-            sizes[kind] = sum(os.path.getsize(f"{stage}/{kind}/{n}") for n in _files(f"{stage}/{kind}"))
+                _write(_dealt(table, state.BUCKET, list(v.dimensions), n_files), f"{stage.root}/{kind}/{v.name}", options.zstd_level)
+            sizes[kind] = sum(stage.sizes(kind).values())
         layout = min(kinds, key=lambda k: (sizes[k], k != "separate"))
         for kind in kinds:
             if kind != layout:
-                shutil.rmtree(f"{stage}/{kind}")
-        os.rename(f"{stage}/{layout}", f"{stage}/views")
+                stage.delete(kind)
+        stage.rename(layout, f"{stage.root}/views")
         kept = tiers.classified(events, contract.retention, cutoff)
         for tier in TIERS:
-            _write(_dealt(kept.where(F.col("tier") == tier).drop("tier"), "timestamp_ns", ["event_id"], options.files), f"{stage}/tiers/{tier}", options.zstd_level)
+            _write(_dealt(kept.where(F.col("tier") == tier).drop("tier"), "timestamp_ns", ["event_id"], n_files), f"{stage.root}/tiers/{tier}", options.zstd_level)
         if options.dictionaries:
             for n in names:
-                _write(dictionary.build(events, n).coalesce(1).sortWithinPartitions("id"), f"{stage}/dictionaries/{safe_name(n)}", options.zstd_level)
-        with open(f"{stage}/{CONTRACT}", "w", encoding="utf-8") as f:
-            f.write(contract.source)
+                _write(dictionary.build(events, n).repartitionByRange("id").sortWithinPartitions("id"), f"{stage.root}/dictionaries/{safe_name(n)}", options.zstd_level)
+        stage.write_text(CONTRACT, contract.source)
         views = layouts.plan(contract, layout)
-        files = {n: {"bytes": os.path.getsize(f"{stage}/{n}"), "sha256": _digest(f"{stage}/{n}")} for n in _files(stage)}
+        digests = stage.digests()
+        files = {n: {"bytes": size, "sha256": digests[n]} for n, size in sorted(stage.sizes().items())}
         manifest = {
             "format": FORMAT, "layout": layout, "bucket_ns": contract.bucket_ns, "contract_hash": contract.digest(), "source_hash": content_hash(events), "cutoff_ns": cutoff,
-            **stats, "tier_counts": {t: spark.read.parquet(f"{stage}/tiers/{t}").count() for t in TIERS},
-            "views": [asdict(v) | {"rows": spark.read.parquet(f"{stage}/views/{v.name}").count()} for v in views], "candidate_bytes": sizes, "dictionaries": names if options.dictionaries else [], "files": files,
+            **stats, "tier_counts": {t: spark.read.parquet(f"{stage.root}/tiers/{t}").count() for t in TIERS},
+            "views": [asdict(v) | {"rows": spark.read.parquet(f"{stage.root}/views/{v.name}").count()} for v in views], "candidate_bytes": sizes, "dictionaries": names if options.dictionaries else [], "files": files,
         }
         manifest["archive_hash"] = archive_hash(manifest)
-        with open(f"{stage}/{MANIFEST}", "w", encoding="utf-8") as f:
-            json.dump(manifest, f, indent=1, sort_keys=True)
+        stage.write_text(MANIFEST, json.dumps(manifest, indent=1, sort_keys=True))
         from .verify import verify
 
-        verify(Archive.open(spark, stage))
-        publish(stage, path)
+        verify(Archive.open(spark, stage.root))
+        publish(spark, stage.root, path)
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
+        stage.delete()
+        source.delete()
     return Archive.open(spark, path)
 
 
@@ -132,20 +129,20 @@ def archive_hash(manifest: dict) -> str:
     return "sha256:" + hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
 
 
-def publish(stage: str, path: str) -> None:
+def publish(spark: SparkSession, stage: str, path: str) -> None:
     """Moves ``stage`` to ``path``; what was there comes back if that fails."""
-    backup = f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:12]}"
-    had = os.path.exists(path)
+    place, backup = Store(spark, path), f"{path}.old-{uuid.uuid4().hex[:12]}"
+    had = place.exists()
     if had:
-        os.rename(path, backup)
+        place.rename("", backup)
     try:
-        os.rename(stage, path)
-    except OSError:
+        Store(spark, stage).rename("", path)
+    except (OSError, Py4JJavaError):
         if had:
-            os.rename(backup, path)
+            Store(spark, backup).rename("", path)
         raise
     if had:
-        shutil.rmtree(backup, ignore_errors=True)
+        Store(spark, backup).delete()
 
 
 @dataclass(frozen=True)
@@ -159,10 +156,10 @@ class Archive:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Archive:
         try:
-            with open(f"{path}/{MANIFEST}", encoding="utf-8") as f:
-                manifest = json.load(f)
-            contract = contracts.load(f"{path}/{CONTRACT}")
-        except (OSError, ValueError, ContractError) as e:
+            store = Store(spark, path)
+            manifest = json.loads(store.read_text(MANIFEST))
+            contract = contracts.parse(store.read_text(CONTRACT))
+        except (OSError, Py4JJavaError, ValueError, ContractError) as e:
             raise CorruptArchive(f"{path} can't be opened: {e}") from e
         if manifest.get("format") != FORMAT:
             raise CorruptArchive(f"unsupported format {manifest.get('format')!r}")

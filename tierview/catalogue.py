@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import query, verify, workload
+from . import archive, query, verify, workload
+from .archive import _dealt
+from .errors import QueryRejected
+from .files import Store, shared_dir
 from .functions.values import DAY_NS, bucket_start
 from .operators import dictionary, state, tiers
 from .plans import contract as contracts
 from .plans import layout as layouts
-from .plans.admission import QuerySpec
+from .plans.admission import QuerySpec, admit
 from .plans.contract import Contract, Measure
 from .sources import adapters, generator
 from .sources.canonical import duplicate_ids, scan, source_stats, violation
@@ -46,12 +49,11 @@ def register(name: str, sql: str | None = None) -> Callable:
 def view(spark: SparkSession, sf_dir: str, contract: Contract, family: str, layout: str = "separate") -> DataFrame:
     """Cells that answer a family, written once for each source and read as any archive's view."""
     v = layouts.route(layouts.plan(contract, layout), family)
-    key = (spark.sparkContext.applicationId, sf_dir, contract.digest(), layout, v.name)
+    key = (spark.sparkContext.applicationId, tuple(sorted(spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles())), contract.digest(), layout, v.name)
     if key not in _views:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tierview-')}"
-        path = f"{shared}/views-{len(_views):03d}-{abs(hash(key)):x}"
+        path = f"{shared_dir(spark)}/views-{uuid.uuid4().hex}"
         cells = state.cells(canonical_events(spark, sf_dir), contract.bucket_ns, v.dimensions, v.measures)
-        cells.repartition(8, F.floor(F.col(state.BUCKET) / DAY_NS)).sortWithinPartitions(state.BUCKET, *[state.quoted(d).asc_nulls_first() for d in v.dimensions]).write.option("compression", "zstd").parquet(path)
+        _dealt(cells, state.BUCKET, list(v.dimensions), 8).write.option("compression", "zstd").parquet(path)
         _views[key] = path
     return spark.read.parquet(_views[key])
 
@@ -223,9 +225,13 @@ for _name, _which, _filters, _sql in (
     register(_name, f"SELECT event_id, timestamp_ns, service, error_code, tier FROM ({_TIER}) WHERE {_sql}")(lambda s, d, w=_which, f=_filters: _kept(s, d, w, f))
 
 
-@register("classify_errors", "SELECT status = 'ERROR' AS is_error, count(*) AS n FROM ev GROUP BY ALL")
+@register("classify_errors", "SELECT status = 'ERROR' AND service <> 'svc-006' OR service = 'svc-005' AS is_error, count(*) AS n FROM ev GROUP BY ALL")
 def classify_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical_events(spark, sf_dir).groupBy(tiers.is_error(MINUTE.retention).alias("is_error")).agg(F.count("*").alias("n"))
+    """Severity and status each decide by themselves: one service's events are fatal though OK, another's errors are neither."""
+    e = canonical_events(spark, sf_dir)
+    e = e.withColumn("severity", F.when(F.col("service") == "svc-005", "FATAL").when(F.col("service") == "svc-006", "INFO").when(F.col("service") == "svc-007", "WARN").otherwise(F.col("severity")))
+    e = e.withColumn("status", F.when(F.col("service") == "svc-006", "UNSET").when(F.col("service") == "svc-005", "OK").otherwise(F.col("status")))
+    return e.groupBy(tiers.is_error(MINUTE.retention).alias("is_error")).agg(F.count("*").alias("n"))
 
 
 @register("raw_recoverability", f"SELECT count(tier) AS retained, count(*) AS total, CAST(count(tier) * 1000000 // count(*) AS BIGINT) AS parts_per_million FROM ({_TIER})")
@@ -271,10 +277,12 @@ def _violations(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("violations"))
 
 
-@register("tier_overlap", f"SELECT count(*) AS violations FROM ({_TIER}) a JOIN ({_TIER}) b USING (event_id) WHERE a.tier = 'errors' AND b.tier = 'recent'")
+@register("tier_overlap", f"SELECT count(*) AS violations FROM ({_TIER}) WHERE tier = 'errors' AND service = 'svc-001'")
 def tier_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recent tier is damaged: one service's errors are in it too."""
     t = tiered(spark, sf_dir)
-    return _violations(t.where("tier = 'errors'").join(t.where("tier = 'recent'"), "event_id", "left_semi"))
+    recent = t.where("tier = 'recent' or (tier = 'errors' and service = 'svc-001')")
+    return _violations(t.where("tier = 'errors'").join(recent, "event_id", "left_semi"))
 
 
 @register("tier_membership", f"SELECT tier, count(*) AS n, count(*) FILTER (WHERE (tier = 'errors') <> (status = 'ERROR')) AS violations FROM ({_TIER}) WHERE tier IS NOT NULL GROUP BY ALL")
@@ -283,23 +291,153 @@ def tier_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiered(spark, sf_dir).where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"), F.count_if((F.col("tier") == "errors") != error).alias("violations"))
 
 
-@register("view_sorted_unique", f"SELECT count(*) AS violations FROM (SELECT bucket_ns, service, operation, status FROM (SELECT {_bucket_sql(BUCKET_NS)} AS bucket_ns, * FROM ev) GROUP BY ALL) GROUP BY bucket_ns, service, operation, status HAVING count(*) > 1 UNION ALL SELECT 0 LIMIT 1")
+_CELLS = f"(SELECT DISTINCT {_bucket_sql(BUCKET_NS)} AS bucket_ns, service, operation, status FROM ev WHERE {{}})"
+
+
+@register("view_sorted_unique", f"SELECT (SELECT count(*) FROM {_CELLS.format("service = 'svc-002'")}) AS repeated, (SELECT count(*) - 1 FROM {_CELLS.format("service = 'svc-003'")}) AS unsorted, CAST(0 AS BIGINT) AS unsorted_as_written")
 def view_sorted_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view in which one service's cells are there twice, and one whose cells are written in falling order."""
     v, dims = view(spark, sf_dir, MINUTE, "latency"), MINUTE.family("latency").dimensions
-    return _violations(verify.repeated_keys(v, dims).select("bucket_ns").unionByName(verify.unsorted_rows(v, dims).select("bucket_ns")))
+    twice = verify.repeated_keys(v.unionByName(v.where("service = 'svc-002'")), dims)
+    path = f"{shared_dir(spark)}/falling-{uuid.uuid4().hex}"
+    few = v.where("service = 'svc-003'")
+    few.repartition(1, F.lit(0)).sortWithinPartitions(*[state.quoted(c).desc_nulls_last() for c in (state.BUCKET, *dims)]).write.parquet(path)
+    counts = [(twice, "repeated"), (verify.unsorted_rows(spark.read.parquet(path), dims), "unsorted"), (verify.unsorted_rows(v, dims), "unsorted_as_written")]
+    rows = [df.agg(F.count("*").alias(name)) for df, name in counts]
+    return rows[0].withColumn("__k", F.lit(0)).join(rows[1].withColumn("__k", F.lit(0)), "__k").join(rows[2].withColumn("__k", F.lit(0)), "__k").drop("__k")
 
 
-@register("view_invariants", "SELECT 0 AS violations")
+@register("view_invariants", f"SELECT (SELECT count(*) FROM {_CELLS.format("service < 'svc-004' AND duration_ns IS NOT NULL")}) AS least_above_greatest, (SELECT count(*) FROM {_CELLS.format("service = 'svc-005'")}) AS bins_off, CAST(0 AS BIGINT) AS as_written")
 def view_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = layouts.route(layouts.separate(MINUTE), "latency")
-    return view(spark, sf_dir, MINUTE, "latency").agg(F.count_if(verify.broken_state(v.measures)).alias("violations"))
+    """Cells damaged in two ways, and none."""
+    measures = layouts.route(layouts.separate(MINUTE), "latency").measures
+    v = view(spark, sf_dir, MINUTE, "latency").withColumn("__how", F.when(F.col("service") < "svc-004", "least").when(F.col("service") == "svc-005", "bins"))
+    low, high, bin_ = (state.stem(next(m for m in measures if m.op == op)) for op in ("min", "max", "histogram"))
+    broken = v.withColumn(low, F.when(F.col("__how") == "least", F.col(high) + 1).otherwise(F.col(low))).withColumn(f"{bin_}__0", F.when(F.col("__how") == "bins", F.col(f"{bin_}__0") + 1).otherwise(F.col(f"{bin_}__0")))
+    bad, how = verify.broken_state(measures), F.col("__how")
+    return broken.agg(F.count_if(bad & (how == "least")).alias("least_above_greatest"), F.count_if(bad & (how == "bins")).alias("bins_off"), F.count_if(bad & how.isNull()).alias("as_written"))
 
 
-@register("verify_view_vs_raw", "SELECT 0 AS violations")
+@register("verify_view_vs_raw", f"SELECT count(*) AS violations FROM (SELECT DISTINCT {_bucket_sql(BUCKET_NS)}, service, status FROM ev WHERE service = 'svc-003')")
 def verify_view_vs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that lost one service's events: just its answers differ."""
     spec = QuerySpec("latency", *EVERYTHING, group_by=("service", "status"))
     got = query.over_cells(view(spark, sf_dir, MINUTE, "latency"), MINUTE, spec, order=False)
-    return _violations(verify.difference(got, query.from_events(canonical_events(spark, sf_dir), MINUTE, spec, order=False)))
+    return _violations(verify.difference(got, query.from_events(canonical_events(spark, sf_dir).where("service <> 'svc-003'"), MINUTE, spec, order=False)))
+
+
+# An archive, written, opened and read.
+_ROWS = "SELECT '{0}' AS part, count(*) AS n FROM ({1})"
+_ARCHIVED = " UNION ALL ".join(
+    [_ROWS.format(f"views/{v.name}", f"SELECT DISTINCT {_bucket_sql(DAY_NS)}, {', '.join(v.dimensions)} FROM ev") for v in layouts.separate(DAY)]
+    + [_ROWS.format(f"tiers/{t}", f"SELECT 1 FROM ({_TIER}) WHERE tier = '{t}'") for t in ("errors", "recent")]
+    + [_ROWS.format(f"dictionaries/{d}", f"SELECT DISTINCT {d} FROM ev WHERE {d} IS NOT NULL UNION ALL SELECT NULL") for d in ("error_code", "event_type", "model", "operation", "service", "severity", "status")]
+)
+
+
+@register("archive_round_trip", _ARCHIVED)
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every part of an archive that was encoded, verified, published and opened."""
+    a = archive.encode(canonical_events(spark, sf_dir), DAY, f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}", archive.EncodeOptions("separate"))
+    parts = [(f"views/{v.name}", a.view(v.name)) for v in a.views] + [(f"tiers/{t}", a.tier(t)) for t in archive.TIERS] + [(f"dictionaries/{d}", a.dictionary(d)) for d in a.manifest["dictionaries"]]
+    out = None
+    for name, df in parts:
+        row = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("inspect_source", f"SELECT count(*) AS event_count, (SELECT count(*) FROM ({_TIER}) WHERE tier = 'errors') AS errors, (SELECT count(*) FROM ({_TIER}) WHERE tier = 'recent') AS recent, min(timestamp_ns) AS min_timestamp_ns, max(timestamp_ns) AS max_timestamp_ns, max(timestamp_ns) - {RECENT_NS} AS cutoff_ns FROM ev")
+def inspect_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = archive.encode(canonical_events(spark, sf_dir), DAY, f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}", archive.EncodeOptions("separate", dictionaries=False))
+    info = a.inspect()
+    Store(spark, a.path).delete()
+    row = (info["event_count"], info["tier_counts"]["errors"], info["tier_counts"]["recent"], info["min_timestamp_ns"], info["max_timestamp_ns"], info["cutoff_ns"])
+    return spark.createDataFrame([row], "event_count long, errors long, recent long, min_timestamp_ns long, max_timestamp_ns long, cutoff_ns long")
+
+
+# Rejections and text sources.
+_NUMBER = "CAST(substr(event_id, 5) AS BIGINT)"
+
+
+@register("reject_lines", f"SELECT CASE {_NUMBER} % 7 WHEN 0 THEN 'unknown field surprise' WHEN 1 THEN 'duration_ns must be a 64-bit integer' WHEN 2 THEN 'attributes must be an object of text or null' WHEN 3 THEN 'duration_ns must be a 64-bit integer' WHEN 4 THEN 'not a JSON document, or a key twice' ELSE 'valid' END AS problem, count(*) AS n FROM ev GROUP BY ALL")
+def reject_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines spoilt by number: an unknown field, a fraction, a nested attribute, a number beyond 64 bits, a key twice."""
+    from .sources.canonical import canonical_json
+
+    number = F.substring("event_id", 5, 12).cast("long") % 7
+    lines = canonical_events(spark, sf_dir).select(number.alias("k"), canonical_json().alias("value"))
+    swaps = {0: (r"^\{", '{"surprise":1,'), 1: (r'"duration_ns":-?\d+', '"duration_ns":1.5'), 2: (r'"attributes":\{', '"attributes":{"n":{"x":1},'), 3: (r'"duration_ns":-?\d+', '"duration_ns":99999999999999999999'), 4: (r"^\{", '{"service":"twice",')}
+    value = F.col("value")
+    for k, (old, new) in swaps.items():
+        value = F.when(F.col("k") == k, F.regexp_replace("value", old, new)).otherwise(value)
+    return scan(lines.select(value.alias("value"))).groupBy(F.coalesce("problem", F.lit("valid")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@register("gzip_lines", "SELECT event_id, timestamp_ns, operation, bytes_out FROM ev")
+def gzip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.canonical import read_lines, write_jsonl
+
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    write_jsonl(canonical_events(spark, sf_dir), path, "gzip")
+    return scan(read_lines(spark, path)).where("problem is null").select("event_id", "timestamp_ns", "operation", "bytes_out")
+
+
+@register("malformed_lines", f"SELECT CASE WHEN {_NUMBER} % 50 = 0 THEN 'unparsed' ELSE 'log.record' END AS event_type, {_NUMBER} % 50 = 0 AS warning, count(*) AS n FROM ev GROUP BY ALL")
+def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines of which one in fifty is too short."""
+    e = canonical_events(spark, sf_dir).withColumn("index", F.substring("event_id", 5, 12).cast("long"))
+    line = F.when(F.col("index") % 50 == 0, "short").otherwise(F.concat_ws(" ", F.lit("-"), F.expr("timestamp_ns div 1000000000").cast("string"), F.lit("2024.01.01 node t n RAS KERNEL INFO text")))
+    return adapters.bgl(e.select(line.alias("value"), "index")).groupBy("event_type", "warning").agg(F.count("*").alias("n"))
+
+
+@register("ordered_answer", f"SELECT {_bucket_sql(DAY_NS)} AS bucket_ns, model, CAST(sum(tokens_in) AS BIGINT) AS tokens_in_sum, CAST(sum(tokens_out) AS BIGINT) AS tokens_out_sum FROM ev GROUP BY ALL ORDER BY bucket_ns, model NULLS FIRST LIMIT 25")
+def ordered_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first answers in their order, which decides which these are."""
+    spec = QuerySpec("model-usage", *EVERYTHING, group_by=("model",))
+    return flat(query.from_events(canonical_events(spark, sf_dir), DAY, spec).limit(25))
+
+
+@register("cardinality_over_ceiling", " UNION ALL ".join(f"SELECT '{d}' AS dimension, count(DISTINCT {d}) + 1 AS \"values\" FROM ev HAVING count(DISTINCT {d}) + 1 > 9" for d in ("service", "operation", "model", "error_code")))
+def cardinality_over_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.cardinality(canonical_events(spark, sf_dir), ["service", "operation", "model", "error_code"]).where(F.col("values") > 9)
+
+
+@register("illegal_requests", "SELECT range AS query, TRUE AS rejected FROM range(20)")
+def illegal_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = canonical_events(spark, sf_dir).agg(F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high")).first()
+
+    def rejected(spec: QuerySpec) -> bool:
+        try:
+            admit(MINUTE, spec)
+        except QueryRejected:
+            return True
+        return False
+
+    rows = [(i, rejected(s)) for i, s in enumerate(workload.illegal(MINUTE, bounds["low"], bounds["high"]))]
+    return spark.createDataFrame(rows, "query long, rejected boolean")
+
+
+@register("generated_frame", f"SELECT 'evt-' || lpad(CAST(i AS VARCHAR), 12, '0') AS event_id, CAST({generator.START_NS} + CAST(i AS HUGEINT) * {generator.SPAN_NS} // 10000 AS BIGINT) AS timestamp_ns, 'trace-' || lpad(CAST(i // 8 AS VARCHAR), 10, '0') AS trace_id, CASE WHEN i % 8 <> 0 THEN 'span-' || lpad(CAST(i - 1 AS VARCHAR), 12, '0') END AS parent_span_id, i % 5 = 0 AS has_model, i % 5 = 0 AS has_tokens FROM (SELECT range AS i FROM range(10000))")
+def generated_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the generator's events doesn't depend on chance."""
+    e = generator.generate(spark, "standard", 10_000, 7)
+    return e.select("event_id", "timestamp_ns", "trace_id", "parent_span_id", F.col("model").isNotNull().alias("has_model"), (F.col("tokens_in").isNotNull() & F.col("tokens_out").isNotNull()).alias("has_tokens"))
+
+
+@register("generated_rates", "SELECT * FROM (VALUES ('standard', 20000, TRUE, TRUE, 16, TRUE), ('low-cardinality', 20000, TRUE, TRUE, 4, TRUE), ('error-burst', 20000, TRUE, TRUE, 16, TRUE), ('out-of-order', 20000, TRUE, TRUE, 16, TRUE)) t(scenario, events, errors_as_stated, within_bounds, services, skewed)")
+def generated_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of errors within three in a thousand of what a scenario states, bounds of values, and the skew of operations."""
+    out = None
+    expected = {"standard": 0.01, "low-cardinality": 0.001, "error-burst": 0.01 + 0.24 / 120, "out-of-order": 0.01}
+    for name, rate in expected.items():
+        s, e = generator.SCENARIOS[name], generator.generate(spark, name, 20_000, 11)
+        bounds = F.col("duration_ns").between(500_000, 1_500_499_999) & F.col("bytes_in").between(64, 65_535) & F.col("bytes_out").between(64, 262_143)
+        low = F.count_if(F.substring("operation", 11, 6).cast("int") < s.operations // 2)
+        row = e.agg(F.count("*").cast("int").alias("events"), (F.abs(F.avg((F.col("status") == "ERROR").cast("int")) - rate) < 0.003).alias("errors_as_stated"), F.every(bounds).alias("within_bounds"), F.countDistinct("service").cast("int").alias("services"), (low / F.count("*") > 0.7).alias("skewed"))
+        row = row.select(F.lit(name).alias("scenario"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 # Adapters: log lines made of events, parsed back.
@@ -341,14 +479,43 @@ class _Views:
         return self._of[name]
 
 
-def legal_workload(spark: SparkSession, sf_dir: str, contract: Contract = DAY) -> tuple[_Views, list[QuerySpec]]:
-    archive = _Views(spark, sf_dir, contract)
+def legal_workload(spark: SparkSession, sf_dir: str, contract: Contract = MINUTE) -> tuple[_Views, list[QuerySpec]]:
+    archive_ = _Views(spark, sf_dir, contract)
     bounds = canonical_events(spark, sf_dir).agg(F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high")).first()
-    values = workload.first_values({f.name: archive.view(layouts.route(list(archive.views), f.name).name) for f in contract.families}, contract)
-    return archive, workload.legal(contract, bounds["low"], bounds["high"], values)
+    values = workload.first_values({f.name: archive_.view(layouts.route(list(archive_.views), f.name).name) for f in contract.families}, contract)
+    return archive_, workload.legal(contract, bounds["low"], bounds["high"], values)
+
+
+def _workload_sql(contract: Contract) -> str:
+    """The 200 requests over raw events, with bounds and filter values found by SQL."""
+    width, names = contract.bucket_ns, list(dict.fromkeys(x.rsplit(" AS ", 1)[1] for f in contract.families for m in f.measures for x in _measure_sql(m)))
+    most = max(len(f.dimensions) for f in contract.families)
+    parts, number = [], 0
+    for f in contract.families:
+        have = {x.rsplit(" AS ", 1)[1]: x for m in f.measures for x in _measure_sql(m)}
+        first = [x.rsplit(" AS ", 1)[1] for x in _measure_sql(f.measures[0])]
+        for i in range(workload.EACH):
+            length = workload.WINDOWS[i % len(workload.WINDOWS)]
+            begin = "b.s" if length is None else f"greatest(b.s, b.e - {length * width})"
+            one, two = f.dimensions[0], f.dimensions[1] if len(f.dimensions) > 1 else f.dimensions[0]
+            picks = ({}, {one: 1}, {one: 1, two: 1}, {one: 2})[i // 10]
+            where = "".join(f" AND EXISTS (SELECT 1 FROM vals WHERE vals.d = '{d}' AND vals.n <= {n} AND vals.v IS NOT DISTINCT FROM ev.{d})" for d, n in picks.items())
+            group = f.dimensions[: 1 + i % len(f.dimensions)]
+            keys = [f"{group[k]} AS group_{k + 1}" if k < len(group) else f"CAST(NULL AS VARCHAR) AS group_{k + 1}" for k in range(most)]
+            cells = [have[n] if n in have and (i % 3 or n in first) else f"CAST(NULL AS BIGINT) AS {n}" for n in names]
+            parts.append(f"SELECT {number} AS query, {_bucket_sql(width)} AS bucket_ns, {', '.join(keys)}, {', '.join(cells)} FROM ev, b WHERE timestamp_ns >= {begin} AND timestamp_ns < b.e{where} GROUP BY ALL")
+            number += 1
+    dims = dict.fromkeys(d for f in contract.families for d in f.dimensions[:2])
+    values = " UNION ALL ".join(f"SELECT '{d}' AS d, v, row_number() OVER (ORDER BY v NULLS FIRST) AS n FROM (SELECT DISTINCT {d} AS v FROM ev)" for d in dims)
+    bounds = f"SELECT {_bucket_sql(width, 'lo')} AS s, {_bucket_sql(width, 'hi')} + {width} AS e FROM (SELECT min(timestamp_ns) AS lo, max(timestamp_ns) AS hi FROM ev)"
+    return f"WITH ev AS MATERIALIZED ({EVENTS}), b AS MATERIALIZED ({bounds}), vals AS MATERIALIZED (SELECT * FROM ({values}) WHERE n <= 2) " + " UNION ALL ".join(parts)
 
 
 @register("workload_batch")
 def workload_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive, specs = legal_workload(spark, sf_dir)
-    return query.batch(archive, specs)
+    """200 different requests over five time ranges, with one-minute buckets."""
+    archive_, specs = legal_workload(spark, sf_dir)
+    return flat(query.batch(archive_, specs))
+
+
+ORACLE_SQL["workload_batch"] = _workload_sql(MINUTE)

@@ -6,10 +6,11 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from . import archive, query, report, verify, workload
 from .errors import ContractError, TierviewError
+from .files import Store
 from .functions.values import parse_filters, time_ns
 from .operators.tiers import CLASSES
 from .plans import contract as contracts
@@ -67,18 +68,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _with_sidecar(spark: SparkSession, events: DataFrame, output: str, made_by: dict) -> dict:
+    """Writes canonical lines, and beside them ``<output>.metadata.json``."""
+    canonical.write_jsonl(events, output)
+    found = made_by | generator.metadata(events) | {"content_hash": canonical.content_hash(events)}
+    folder, _, name = output.rstrip("/").rpartition("/")
+    Store(spark, folder or ".").write_text(f"{name}.metadata.json", json.dumps(found, indent=1, sort_keys=True))
+    return found
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> dict | None:
     if args.command == "generate":
         count = args.events if args.events is not None else args.max_output_bytes // 300 + 1
         events = generator.generate(spark, args.scenario, count, args.seed)
         if args.max_output_bytes is not None:
             events = generator.capped(events, args.max_output_bytes)
-        canonical.write_jsonl(events, args.output)
-        return generator.metadata(events)
+        return _with_sidecar(spark, events, args.output, {"scenario": args.scenario, "seed": args.seed})
     if args.command == "normalize":
         events = adapters.normalize(canonical.read_lines(spark, args.input), args.adapter)
-        canonical.write_jsonl(events, args.output)
-        return generator.metadata(events)
+        return _with_sidecar(spark, events, args.output, {"adapter": args.adapter})
     if args.command == "encode":
         options = archive.EncodeOptions(args.layout, args.cardinality_limit, args.zstd_level, force=args.force)
         return archive.encode(canonical.read_canonical(spark, args.input), contracts.load(args.contract), args.output, options).inspect()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CorruptArchive, InputError
+from ..files import shared_dir, written
 from .state import dimension
 
 
@@ -18,17 +21,17 @@ def values(events: DataFrame, name: str, limit: int | None = None) -> DataFrame:
 def build(events: DataFrame, name: str) -> DataFrame:
     """(id, value): null is 0 whether or not it occurs, values follow from 1.
 
-    Distinct values only are numbered: ranges of values are sorted apart and numbered from the
-    counts of the ranges before, so no task orders them all.
+    Distinct values only are numbered: ranges of values, cut by a sample, are sorted apart and numbered from the
+    counts of the ranges before, so no task orders them all, whatever prefixes they share.
     """
     found = events.select(dimension(name).alias("value")).where(F.col("value").isNotNull()).distinct()
-    prefix = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
-    found = found.withColumn("__part", prefix)
-    counts = found.groupBy("__part").agg(F.count("*").alias("__n"))
-    # 65 793 prefixes of two bytes at most.
+    ranged = found.repartitionByRange("value").withColumn("__part", F.spark_partition_id())
+    ranged = written(ranged, f"{shared_dir(events.sparkSession)}/dictionary-{uuid.uuid4().hex}")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    # One row a partition.
     before = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy("value"))
-    numbered = found.join(before, F.col("__part") == F.col("__p")).select((F.col("__before") + inside).cast("long").alias("id"), "value")
+    numbered = ranged.join(before, F.col("__part") == F.col("__p")).select((F.col("__before") + inside).cast("long").alias("id"), "value")
     null = events.sparkSession.range(1).select(F.lit(0).cast("long").alias("id"), F.lit(None).cast("string").alias("value"))
     return null.unionByName(numbered)
 

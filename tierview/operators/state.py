@@ -22,7 +22,7 @@ def dimension(name: str) -> Column:
 
 
 def quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def stem(m: Measure) -> str:

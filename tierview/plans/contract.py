@@ -100,7 +100,10 @@ def parse(text: str) -> Contract:
         measures = []
         for m in f["measures"]:
             _keys(m, {"field", "op", "bounds"}, {"field", "op"}, "a measure")
-            measures.append(Measure(m["field"], m["op"], tuple(m["bounds"]) if "bounds" in m else None))
+            bounds = m.get("bounds", [])
+            if not isinstance(bounds, list):
+                raise ContractError("bounds must be a list")
+            measures.append(Measure(m["field"], m["op"], tuple(bounds) if bounds or m["op"] == "histogram" else None))
         families.append(Family(f["name"], _strings(f["dimensions"], "dimensions"), tuple(measures)))
     retention = Retention(r["recent"], _strings(r["error_severities"], "error_severities"), _strings(r["error_statuses"], "error_statuses"))
     return validate(Contract(doc["version"], doc["name"], doc["time_bucket"], retention, tuple(families), text))
@@ -112,7 +115,7 @@ def load(path: str) -> Contract:
 
 
 def known_dimension(name: str) -> bool:
-    return name in DIMENSIONS or (name.startswith(ATTRIBUTE) and len(name) > len(ATTRIBUTE))
+    return name in DIMENSIONS or name.startswith(ATTRIBUTE)
 
 
 def validate(c: Contract) -> Contract:
@@ -121,7 +124,7 @@ def validate(c: Contract) -> Contract:
             raise ContractError(what)
 
     need(c.version == 1 and c.version is not True, "version must be 1")
-    need(isinstance(c.name, str) and bool(c.name.strip()), "name must not be empty")
+    need(isinstance(c.name, str) and bool(c.name), "name must not be empty")
     need(bool(c.families), "at least one family is needed")
     width = c.bucket_ns
     need(UNIT_NS["s"] <= width <= DAY_NS and DAY_NS % width == 0, "time_bucket must be 1s to 1d and divide a day")
@@ -129,7 +132,7 @@ def validate(c: Contract) -> Contract:
     names = [f.name for f in c.families]
     need(len(set(names)) == len(names), "family names must differ")
     for f in c.families:
-        need(isinstance(f.name, str) and bool(f.name.strip()), "a family needs a name")
+        need(isinstance(f.name, str) and bool(f.name), "a family needs a name")
         need(1 <= len(f.dimensions) <= MOST_DIMENSIONS, f"{f.name}: 1 to {MOST_DIMENSIONS} dimensions")
         need(len(set(f.dimensions)) == len(f.dimensions), f"{f.name}: a dimension twice")
         for d in f.dimensions:
@@ -140,13 +143,14 @@ def validate(c: Contract) -> Contract:
         for m in f.measures:
             need(m.op in OPERATIONS, f"{f.name}: unknown operation {m.op}")
             need((m.field == "*") if m.op == "count" else (m.field in MEASURES), f"{f.name}: {m.op} can't be of {m.field}")
-            need((m.bounds is not None) == (m.op == "histogram"), f"{f.name}: bounds belong to histograms")
+            need((m.bounds is not None) == (m.op == "histogram"), f"{f.name}: bounds belong to histograms, which may have none")
             for b in m.bounds or ():
                 need(isinstance(b, int) and not isinstance(b, bool) and I64_MIN <= b <= I64_MAX, f"{f.name}: a bound isn't a 64-bit integer")
             need(all(a < b for a, b in zip(m.bounds or (), (m.bounds or ())[1:])), f"{f.name}: bounds must rise")
     return c
 
 
+# The standard contract.
 TELEMETRY = """version = 1
 name = "telemetry-v1"
 time_bucket = "{bucket}"

@@ -38,30 +38,51 @@ def from_events(events: DataFrame, contract: Contract, spec: QuerySpec, order: b
     return _finish(state.cells(rows, contract.bucket_ns, spec.group_by, measures), spec, measures, order)
 
 
-def batch(archive, specs: list[QuerySpec], chunk: int = 20) -> DataFrame:
-    """Many answers as one table (query, bucket_ns, groups, values), both as JSON text.
+def batch(archive, specs: list[QuerySpec]) -> DataFrame:
+    """Many answers as one table: query, bucket_ns, group_1.. in the order of the request, and a column for each measure.
 
-    Requests that read the same rows and group alike are answered by one aggregation, which is
-    scanned once; plans are united a ``chunk`` at a time to keep them short.
+    Each view is scanned once. Requests that read the same cells and group alike share a slot; a cell goes
+    to every slot that selects it, without the dimensions that the slot doesn't group by, and one aggregation, which
+    combines map-side, answers all slots. Measures not asked for are null.
     """
-    alike: dict[tuple, list[int]] = {}
+    of_view: dict[str, dict[tuple, list[int]]] = {}
     for i, s in enumerate(specs):
         admit(archive.contract, s)
-        alike.setdefault((s.family, s.start_ns, s.end_ns, json.dumps(s.filters, sort_keys=True), s.group_by), []).append(i)
-    parts = []
-    for numbers in alike.values():
-        family = archive.contract.family(specs[numbers[0]].family)
-        names = {n for i in numbers for n in (specs[i].measures or [m.name for m in family.measures])}
-        s = specs[numbers[0]]
-        every = QuerySpec(s.family, s.start_ns, s.end_ns, s.filters, s.group_by, tuple(m.name for m in family.measures if m.name in names))
-        cells = archive.view(layouts.route(list(archive.views), s.family).name)
-        rows = over_cells(cells, archive.contract, every, order=False)
-        picks = [F.struct(F.lit(i).alias("query"), F.to_json(F.array(*[state.quoted(d) for d in s.group_by]), {"ignoreNullFields": "false"}).alias("groups"), F.to_json(F.struct(*[state.quoted(m.name) for m in wanted(family, specs[i])]), {"ignoreNullFields": "false"}).alias("values")) for i in numbers]
-        parts.append(rows.select(state.BUCKET, F.inline(F.array(*picks))))
+        slot = (s.start_ns, s.end_ns, json.dumps(s.filters, sort_keys=True), s.group_by)
+        of_view.setdefault(layouts.route(list(archive.views), s.family).name, {}).setdefault(slot, []).append(i)
+    parts = [_slots(archive, name, specs, list(slots.values())) for name, slots in of_view.items()]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("query", state.BUCKET, "groups", "values")
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def _slots(archive, view: str, specs: list[QuerySpec], slots: list[list[int]]) -> DataFrame:
+    """The answers of requests on one view; ``slots`` lists requests that differ in family and measures only."""
+    first = [specs[numbers[0]] for numbers in slots]
+    asked = {i: wanted(archive.contract.family(specs[i].family), specs[i]) for numbers in slots for i in numbers}
+    measures = list({m.name: m for ms in asked.values() for m in ms}.values())
+    slot, number = F.col("__slot"), F.col("query")
+    picks = F.filter(F.array(*[F.when(state.selected(s, F.col(state.BUCKET)), F.lit(k)) for k, s in enumerate(first)]), lambda x: x.isNotNull())
+    cells = archive.view(view).where((F.col(state.BUCKET) >= min(s.start_ns for s in first)) & (F.col(state.BUCKET) < max(s.end_ns for s in first)))
+    cells = cells.withColumn("__slot", F.explode(picks))
+    dims = list(dict.fromkeys(d for s in first for d in s.group_by))
+    masked = [F.when(slot.isin([k for k, s in enumerate(first) if d in s.group_by]), state.quoted(d)).alias(d) for d in dims]
+    merged = cells.groupBy("__slot", state.BUCKET, *masked).agg(*[c for m in measures for c in state.merge(m)])
+    groups = []
+    for place in range(max(len(s.group_by) for s in first)):
+        at: dict[str, list[int]] = {}
+        for k, s in enumerate(first):
+            if place < len(s.group_by):
+                at.setdefault(s.group_by[place], []).append(k)
+        value = F.lit(None).cast("string")
+        for d, ks in at.items():
+            value = F.when(slot.isin(ks), state.quoted(d)).otherwise(value)
+        groups.append(value.alias(f"group_{place + 1}"))
+    requests = F.element_at(F.array(*[F.array(*[F.lit(i) for i in numbers]) for numbers in slots]), slot + 1)
+    rows = merged.select(F.explode(requests).alias("query"), state.BUCKET, *groups, *[state.answer(m) for m in measures])
+    picked = [F.when(number.isin([i for i, ms in asked.items() if m in ms]), state.quoted(m.name)).alias(m.name) for m in measures]
+    return rows.select("query", state.BUCKET, *[F.col(f"group_{g + 1}") for g in range(len(groups))], *picked)
 
 
 def envelope(archive, spec: QuerySpec) -> dict:

@@ -13,9 +13,16 @@ LEVELS = ("DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 
 
 def indexed(lines: DataFrame) -> DataFrame:
-    """Adds ``index``, the line's number from 0, from counts of partitions (no line is shuffled)."""
-    spark, schema = lines.sparkSession, lines.schema.add("index", "long")
-    return spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """Adds ``index``, the line's number from 0, from counts of partitions (one row a partition is gathered, no line is shuffled)."""
+    placed = lines.withColumn("__i", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("__i", 33)
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = [0], 0
+    for p in range(max(counts, default=-1)):
+        total += counts.get(p, 0)
+        before.append(total)
+    start = F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), (part + 1).cast("int"))
+    return placed.withColumn("index", start + F.col("__i").bitwiseAND((1 << 33) - 1)).drop("__i")
 
 
 def _words(c: Column) -> Column:
