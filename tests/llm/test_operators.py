@@ -243,6 +243,72 @@ def test_ogg_round_trip_and_damage():
     assert ogg.checksum(b"123456789") == crc
 
 
+def test_ogg_fuzzed():
+    """Damage of any kind is an OggError; pages without packets, uneven streams and foreign streams too."""
+    rng = random.Random(21)
+    media = ogg.mux(bytes(rng.getrandbits(8) for _ in range(20_000)))
+    for _ in range(400):
+        broken = bytearray(media[: rng.randrange(len(media)) if rng.random() < 0.3 else len(media)])
+        for _ in range(rng.randrange(1, 4)):
+            if broken:
+                broken[rng.randrange(len(broken))] ^= 1 << rng.randrange(8)
+        try:
+            assert ogg.demux(bytes(broken))[0] is not None
+        except ogg.OggError:
+            pass
+    ident = lambda k, n, total: struct.pack(ogg._IDENT, ogg.MAGIC, ogg.RATE, k, n, total)
+    packetless = ogg._page(ogg.FIRST | ogg.LAST, 0, 1, 0, b"", b"")
+    uneven = b"".join(p for _, p in ogg._pages([ident(0, 2, 8)], 1)) + b"".join(p for _, p in ogg._pages([ident(1, 2, 8), b"abcd", b"efgh"], 2))
+    foreign = b"".join(p for _, p in ogg._pages([b"other kind", b"abcd"], 7))
+    for odd in (packetless, uneven, foreign):
+        with pytest.raises(ogg.OggError):
+            ogg.demux(odd)
+    assert ogg.demux_streams(foreign)[7].starts_us == []
+
+
+def test_letters():
+    assert not any(map(language.has_letter, ("½ ²", "①", "12 _", "", "٣", "🤦"))) and all(map(language.has_letter, ("a", "½é", "中", "1²x")))
+
+
+def test_network_by_force():
+    """Pooling and softmax against plain loops."""
+    net = language.ByteCnn(["a", "b"], language.Settings(window=16, filters=3, embedding=2))
+    x = np.random.default_rng(1).integers(0, 256, (3, 16)).astype(np.uint8)
+    for i, got in enumerate(net.probabilities(x)):
+        h = []
+        for f in range(net.convolve.shape[1]):
+            sums = [sum(net.embed[x[i, p + j], d] * net.convolve[j * 2 + d, f] for j in range(net.wide) for d in range(2)) for p in range(16 - net.wide + 1)]
+            h.append(max(0.0, max(sums) + net.bias[f]))
+        z = np.exp(np.array(h) @ net.out + net.out_bias)
+        assert np.allclose(got, z / z.sum(), atol=1e-5)
+
+
+def test_long_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "a" + " " * 1_200_000 + "b" + "\n" * 300
+    assert np.frombuffer(packing.RankTokenizer(path).encode(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_hilbert_ranks_and_pruning(spark):
+    """Ranks against one global order, and files skipped for filters on one and two dimensions; clashing names are replaced."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("shard", F.lit("clash"))
+    dims = {"lang": hilbert.quantise_frequent(docs, "lang"), "source": hilbert.quantise_frequent(docs, "source"), "size": hilbert.quantise_size(F.octet_length("text"))}
+    rows = docs.select("doc_id", "shard", *[c.alias(f"q_{n}") for n, c in dims.items()])
+    out = hilbert.hilbert_shards(rows, {n: F.col(f"q_{n}") for n in dims}, ["doc_id"], 16)
+    got = [(r["hilbert_index"], r["t"], r["doc_id"]) for r in out.withColumn("t", F.xxhash64("doc_id")).orderBy("shard", "slot").collect()]
+    assert [h for h, _, _ in got] == sorted(h for h, _, _ in got) and len(got) == docs.count()
+    sets = hilbert.manifest(out, [], [f"q_{n}" for n in dims]).collect()
+    langs, sources = ({s for r in sets for s in r[f"set_q_{n}"]} for n in ("lang", "source"))
+    skipped = lambda wanted: np.mean([not all(v in r[f"set_q_{n}"] for n, v in wanted.items()) for r in sets])
+    one = np.mean([skipped({"lang": a}) for a in langs])
+    two = np.mean([skipped({"lang": a, "source": b}) for a in langs for b in sources])
+    print("shares of shards skipped", one, two)
+    assert one > 0.2 and two > one
+
+
 def test_ogg_columns(spark):
     df = spark.createDataFrame([(1, b"abc"), (2, None), (3, b"")], "doc_id long, media_in binary")
     out = ogg.with_payload(ogg.with_ogg(df, "media_in"), "media").withColumn("bad", F.substring("media", 1, 30))

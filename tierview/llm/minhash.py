@@ -193,7 +193,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The ``pairs`` (x, y) whose components in ``found`` (node, component) differ; a node that isn't there is its own."""
-    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"__{side}"))
+    of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"__{side}")).hint("merge")
     return cut(pairs.select("x", "y").join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("__x", "x") != F.coalesce("__y", "y")).select("x", "y"))
 
 
