@@ -105,8 +105,8 @@ def carried(row: dict) -> pa.Table:
 
 def bucketed(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its keys) for each bucket that has any."""
-    of = (keys >> np.uint64(32)) % np.uint64(buckets)
-    order = np.argsort(of, kind="stable")
+    of = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint64)
+    order = np.argsort(of, kind="stable")  # by radix where 16 bits do
     edges = np.flatnonzero(np.diff(of[order])) + 1
     for places in np.split(order, edges):
         if len(places):
@@ -146,7 +146,7 @@ def shared_keys(chunks: DataFrame, features: Callable[[Chunk], tuple[np.ndarray,
         many = [np.frombuffer(x, np.uint32).reshape(2, -1) for x in group.column("many").to_pylist()]
         keys = np.concatenate([*once, *[m[0] for m in many]])
         counts = np.concatenate([*[np.ones(len(o), np.int64) for o in once], *[m[1].astype(np.int64) for m in many]])
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         total = np.add.reduceat(counts, first) if len(keys) else counts
