@@ -42,6 +42,8 @@ LENGTH, SEED = 50, 24
 HOT = 4096
 #: Bytes of distinct pieces that one bucket should have.
 BUCKET_BYTES = 2_000_000
+#: Places hashed or compared at a time, so that intermediate arrays stay small.
+PLACES = 1 << 17
 
 
 def mix(x: np.ndarray, multiplier: int, shift: int) -> np.ndarray:
@@ -61,11 +63,14 @@ def eights(data: np.ndarray) -> np.ndarray:
 
 def seed_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the ``SEED`` bytes from each place on."""
-    x = eights(data)
-    n = len(data) - SEED + 1
-    h = mix(x[:n], 0x9E3779B97F4A7C15, 32)
-    h = mix(h + x[8 : n + 8], 0xD6E8FEB86659FD93, 29)
-    return mix(mix(h + x[16 : n + 16], 0xC2B2AE3D27D4EB4F, 32), 0x165667B19E3779F9, 31)
+    out = np.empty(max(0, len(data) - SEED + 1), np.uint64)
+    for at in range(0, len(out), PLACES):
+        x = eights(data[at : at + PLACES + SEED - 1])
+        n = len(x) - SEED + 1
+        h = mix(x[:n], 0x9E3779B97F4A7C15, 32)
+        h = mix(h + x[8 : n + 8], 0xD6E8FEB86659FD93, 29)
+        out[at : at + n] = mix(mix(h + x[16 : n + 16], 0xC2B2AE3D27D4EB4F, 32), 0x165667B19E3779F9, 31)
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -88,11 +93,16 @@ class Pieces:
         if len(data) < length:
             return
         self.hashes = h = seed_hashes(data)
-        order = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+        order = np.arange(len(h), dtype=np.uint64)
+        order |= h & np.uint64(0xFFFFFFFF00000000)
         # A seed over the end of a document is never the least.
         for inner in ends[:-1]:
             order[max(0, inner - SEED + 1) : inner] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        anchor = sliding_min(order, length - SEED + 1) & np.uint64(0xFFFFFFFF)
+        width = length - SEED + 1
+        anchor = np.empty(len(order) - width + 1, np.uint32)
+        for begin in range(0, len(anchor), PLACES):
+            anchor[begin : begin + PLACES] = sliding_min(order[begin : begin + PLACES + width - 1], width) & np.uint64(0xFFFFFFFF)
+        del order
         edge = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
         first, last = np.concatenate([[0], edge]), np.concatenate([edge, [len(anchor)]]) - 1
         at = anchor[first].astype(np.int64)
@@ -120,12 +130,20 @@ def gather(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 
 def ranks(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
-    step = np.zeros(len(keys), np.uint64)
-    ordered = keys[order]
-    step[1:] = ordered[1:] != ordered[:-1]
-    out = np.empty(len(keys), np.uint64)
-    out[order] = np.cumsum(step)
+    order = np.argsort(keys)  # equal keys get one rank, so their order is free
+    ordered, step = keys[order], np.zeros(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=step[1:])
+    del ordered
+    out = np.empty(len(keys), np.uint32)
+    out[order] = np.cumsum(step, dtype=np.uint32)
+    return out
+
+
+def joined(ranks: np.ndarray, first: np.ndarray, ahead: int) -> np.ndarray:
+    """The ranks at ``first`` and ``ahead`` of it, as one number."""
+    out = ranks[first].astype(np.uint64)
+    out <<= np.uint64(32)
+    out |= ranks[first + ahead]
     return out
 
 
@@ -134,20 +152,28 @@ class SuffixOrder:
 
     def __init__(self, data: np.ndarray, at: np.ndarray, depth: int = LENGTH):
         padded = np.concatenate([data, np.zeros(64, np.uint8)])
-        self.depth, self.words = depth, eights(padded).byteswap()
+        self.depth, self.words = depth, eights(padded).byteswap(inplace=True)
         self.levels: dict[int, np.ndarray] = {8: ranks(self.words)}
         for level in (8, 16):
-            r = self.levels[level]
-            ahead = np.concatenate([r[level:], np.zeros(level, np.uint64)])
-            self.levels[2 * level] = ranks((r << np.uint64(32)) | ahead)
-        top = self.levels[32]
-        self.order = at[np.argsort((top[at] << np.uint64(32)) | top[at + depth - 32], kind="stable")]
+            # Only places whose bytes lie within the depth of some suffix are ever looked at.
+            to = self.inner(at, 2 * level)
+            self.levels[2 * level] = np.zeros(len(padded), np.uint32)
+            self.levels[2 * level][to] = ranks(joined(self.levels[level], to, level))
+        del self.levels[8]
+        self.order = at[np.argsort(joined(self.levels[32], at, depth - 32))]
+
+    def inner(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Places whose ``size`` bytes lie within the first ``depth`` bytes of a suffix."""
+        edge = np.zeros(len(self.words) + 1, np.int32)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + self.depth - size + 1, -1)
+        return np.flatnonzero(np.cumsum(edge[:-1], out=edge[:-1]) > 0)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes at ``a`` and ``b``, ``depth`` at most."""
         size = np.zeros(len(a), np.int64)
         for level in (32, 16, 8):
-            r = self.levels[level]
+            r = self.levels[level] if level > 8 else self.words
             size += level * (r[a + size] == r[b + size])
         rest = self.words[a + size] ^ self.words[b + size]
         for k in range(7):
@@ -315,18 +341,17 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
             chunk = Chunk.read(row)
             rest += [carried(row)] if carry else []
             edge = np.zeros(len(chunk.data) + 1, np.int32)
-            for places, masks, covered in zip(*[right.column(c).to_pylist() for c in ("places", "masks", "covered")]):
-                if covered:
-                    first, last = np.frombuffer(covered, np.int64).reshape(2, -1)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, last, -1)
-                if places:
-                    p, m = np.frombuffer(places, np.uint32).astype(np.int64), np.frombuffer(masks, np.uint32)
-                    for i in range(32):
-                        on = p[(m >> np.uint32(i)) & np.uint32(1) == 1] + i
-                        np.add.at(edge, on, 1)
-                        np.add.at(edge, on + length, -1)
-            gone = np.cumsum(edge[:-1]) > 0
+            for covered in filter(None, right.column("covered").to_pylist()):
+                first, last = np.frombuffer(covered, np.int64).reshape(2, -1)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, last, -1)
+            p, m = (np.frombuffer(b"".join(filter(None, right.column(c).to_pylist())), np.uint32) for c in ("places", "masks"))
+            p = p.astype(np.int64)
+            for i in range(32):
+                on = p[(m >> np.uint32(i)) & np.uint32(1) == 1] + i
+                np.add.at(edge, on, 1)
+                np.add.at(edge, on + length, -1)
+            gone = np.cumsum(edge[:-1], out=edge[:-1]) > 0
             if whole and len(gone):
                 lead = np.flatnonzero((chunk.data & 0xC0) != 0x80)
                 gone = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(lead, append=len(gone)))
