@@ -383,6 +383,24 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert got == {i: i for i in range(3000)} | {1501: 1500}
 
 
+def test_small_tables_have_few_tasks(spark):
+    """With many shuffle partitions that aren't merged, what is written between the steps has as many files as its rows are worth."""
+    from tierview.llm import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 4000) if i % 4 < 3], "a long, b long")
+    few = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in few}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        out = components.components(edges, "a", "b")
+        assert len(out.inputFiles()) <= 12
+        assert all(r["component"] == r["node"] // 4 * 4 for r in out.collect()) and out.count() == 4000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_bayesian_bounds():
     bounds = minhash.least_matches(0.85)
     assert [n for n, _ in bounds] == list(range(16, 129, 16)) and all(0 < m < n for n, m in bounds)
