@@ -117,6 +117,13 @@ def test_strict_scan(spark, change, why):
     assert why in canonical.scan(spark.createDataFrame([(line,)], "value string")).first()["problem"]
 
 
+def test_scan_parses_once(spark):
+    """A filter on the problem doesn't bring the parsers of a line along, once for each field."""
+    lines = spark.createDataFrame([("{}",)], "value string").select(F.concat("value", F.lit("")).alias("value"))
+    plan = canonical.scan(lines).where("problem is null").select("event_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
 def test_round_trip(spark):
     found = canonical.scan(spark.createDataFrame([(GOOD,), (GOOD.replace('"a":"λ"', '"b:c":"λ"'),)], "value string"))
     assert [r["problem"] for r in found.collect()] == [None, None]

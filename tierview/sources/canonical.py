@@ -38,12 +38,13 @@ def scan(lines: DataFrame) -> DataFrame:
     """
     # As variant a document keeps each value's own type; duplicate keys make it null.
     v = F.try_parse_json("value")
-    typed = lines.select("value", v.alias("__v"), F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}).alias("e"))
+    # A generator, because the optimizer would put parsers in place of their columns wherever a filter on ``problem`` names them.
+    typed = lines.select(F.inline(F.array(F.struct("value", v.alias("__v"), F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}).alias("e"), F.json_object_keys("value").alias("__keys")))))
     kind = F.schema_of_variant
     get = lambda name: F.try_variant_get("__v", f"$.{name}", "variant")
     is_kind = lambda name, *kinds: F.coalesce(kind(get(name)).isin(*kinds, "VOID"), F.lit(True))
-    unknown = F.array_except(F.json_object_keys("value"), F.array(*[F.lit(f) for f in FIELDS]))
-    whole = lambda name: is_kind(name, "BIGINT") & (get(name).isNull() | (kind(get(name)) == "VOID") | F.col(f"e.{name}").isNotNull())
+    unknown = F.array_except("__keys", F.array(*[F.lit(f) for f in FIELDS]))
+    whole = lambda name: is_kind(name, "BIGINT") & (F.col(f"e.{name}").isNotNull() | get(name).isNull() | (kind(get(name)) == "VOID"))
     attributes = F.from_json(F.try_variant_get("__v", "$.attributes", "string"), T.MapType(T.StringType(), T.StringType()))
     values = F.map_values(F.try_variant_get("__v", "$.attributes", "map<string,variant>"))
     odd_attributes = F.coalesce(F.exists(values, lambda x: ~F.coalesce(kind(x), F.lit("VOID")).isin("STRING", "VOID")), F.lit(False))
