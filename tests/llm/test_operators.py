@@ -519,6 +519,32 @@ def test_edited_passages(spark, length, edits, even):
     assert len({r["doc_id"] for r in got}) >= {55: 40, 40: 38, 60: 34}[length]
 
 
+def test_every_seed_proposes(spark):
+    """Copies with each sixth word changed, so that six runs of five words are all they share with their source."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(20000)]
+    rows = []
+    for i in range(0, 800, 2):
+        passage = rng.choices(words, k=35)
+        copy = [f"edit{j}" if j % 6 == 5 else w for j, w in enumerate(passage)]
+        rows += [(i + k, " ".join(rng.choices(words, k=9) + part)) for k, part in enumerate((passage, copy))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["src_doc_id"]) for r in got} == {(i + 1, i) for i in range(0, 800, 2)}
+
+
+def test_first_holder_that_is_no_source(spark):
+    """Document 1 has all seeds that 2 and 3 share, yet with too much between them; 4 equals 3, so that 3 alone is enough."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    parts = [rng.choices(words, k=20) for _ in range(3)]
+    stuffed = lambda k: parts[0] + rng.choices(words, k=k) + parts[1] + rng.choices(words, k=k) + parts[2]
+    made = [stuffed(15), stuffed(3), stuffed(3)]
+    rows = [(i, " ".join(rng.choices(words, k=50) + passage + rng.choices(words, k=50))) for i, passage in enumerate([*made, made[2]], 1)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["src_doc_id"]) for r in got}
+    assert {(3, 2), (4, 3)} <= found <= {(3, 2), (4, 3), (4, 2)}
+
+
 def test_passages_without_sources_in_a_chunk(spark):
     """First and later copies in different partitions, and so in different chunks."""
     rng = random.Random(5)
