@@ -611,6 +611,83 @@ def test_patchwork_passage(spark):
     assert [(r["doc_id"], r["start_word"], r["end_word"], r["src_doc_id"]) for r in got] == [(5, 50, 110, 4)]
 
 
+def scattered_phrases():
+    """Documents of three phrases of six words that occur first in three different earlier ones, and ten verbatim copies."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(20000)]
+    phrases = [rng.choices(words, k=6) for _ in range(150)]
+    passages_ = [rng.choices(words, k=50) for _ in range(10)]
+    made = [rng.choices(words, k=40) + p + rng.choices(words, k=40) for p in [*phrases, *passages_]]
+    at = rng.sample(range(150), 150)
+    for k in range(0, 150, 3):
+        made.append(rng.choices(words, k=40) + [w for j in at[k : k + 3] for w in [*phrases[j], *rng.choices(words, k=4)]] + rng.choices(words, k=40))
+    made += [rng.choices(words, k=40) + p for p in passages_]
+    return [(i, " ".join(t)) for i, t in enumerate(made)]
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_hopeless_regions_stay_behind(spark, monkeypatch, apart):
+    """Sources that can't share enough words get no region where the ids of chunks lie apart, nor alignment anywhere; copies are found."""
+    rows, made = scattered_phrases(), []
+    write = passages.cut
+    monkeypatch.setattr(passages, "cut", lambda df, *a, **k: made.append(write(df, *a, **k)) or made[-1])
+    monkeypatch.setattr(passages, "discard", lambda *a: None)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df = df.repartitionByRange(3, "doc_id") if apart else df.repartition(3, F.col("doc_id") % 3)
+    got = passages.repeated_passages(df).collect()
+    assert {(r["doc_id"], r["src_doc_id"]) for r in got} == {(i + 210, i + 150) for i in range(10)}
+    found = next(t for t in made if "shift" in t.columns)
+    assert found.count() == 10 if apart else found.count() >= 10
+
+
+def test_hopeful_by_force():
+    """No pair of regions whose seeds cover enough words is left out, and most others are."""
+    rng = np.random.default_rng(13)
+    x = [rng.integers(0, 1 << 16, int(rng.integers(3, 200))).astype(np.uint16) for _ in range(400)]
+    y = [rng.integers(0, 1 << 16, int(rng.integers(3, 200))).astype(np.uint16) for _ in range(400)]
+    for i in range(0, 400, 2):
+        n = min(len(x[i]), len(y[i]), int(rng.integers(3, 30)))
+        y[i][len(y[i]) - n :] = x[i][:n]
+    pair, at, to = passages.matches(x, y, np.zeros(400, np.int64))
+    covered = [len({p + k for p in at[pair == i].tolist() for k in range(5)}) for i in range(400)]
+    want = {i for i, n in enumerate(covered) if n >= passages.LEAST_COVER}
+    got = set(passages.hopeful(x, y).tolist())
+    assert 50 < len(want) < 150 and want <= got and len(got - want) <= 5
+
+
+@pytest.mark.parametrize("order", ["apart", "interleaved", "overlapping"])
+def test_regions_without_bounds(spark, monkeypatch, order):
+    """The passages are those that all regions give, whatever the order of ids in chunks, equal and null ids included."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(400)]
+    stock = [rng.choices(words, k=7) for _ in range(40)]
+    made: list[list[str]] = []
+    for i in range(240):
+        text = [w for _ in range(rng.randrange(3, 12)) for w in [*rng.choice(stock), *rng.choices(words, k=rng.randrange(5))]]
+        if i % 3 == 0 and i:
+            text[5:5] = [w if rng.random() > 0.08 else "edit" for w in rng.choice(made)[:60]]
+        made.append(text)
+    rows = [(None if i % 60 == 59 else i - (i % 50 == 7), " ".join(t)) for i, t in enumerate(made)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.monotonically_increasing_id())
+    df = {"apart": df.repartitionByRange(4, "doc_id"), "interleaved": df.repartition(4, "n"), "overlapping": df.repartitionByRange(4, F.col("doc_id") + F.col("doc_id") * 7 % 40)}[order]
+    df = df.sortWithinPartitions("doc_id", "text").localCheckpoint()
+    got = sorted(map(str, passages.repeated_passages(df).collect()))
+    monkeypatch.setattr(passages.Matches, "coverable", lambda self, s, start, *_: np.full(len(start), np.inf))
+    monkeypatch.setattr(passages, "hopeful", lambda x, y: np.arange(len(x)))
+    assert got == sorted(map(str, passages.repeated_passages(df).collect())) and len(got) > 60
+
+
+def test_among():
+    rng = np.random.default_rng(15)
+    for kind in (np.uint32, np.uint64):
+        for n in (0, 1, 5, 3000):
+            x = rng.integers(0, 1 << 32, 9000).astype(kind)
+            x[: n // 2] = x[4000 : 4000 + n // 2]
+            table = np.unique(np.concatenate([x[:n], rng.integers(0, 1 << 32, n).astype(kind)]))
+            assert (passages.among(x, table) == np.isin(x, table)).all()
+            assert passages.several(x).tolist() == [v for v, k in zip(*np.unique(x, return_counts=True)) if k > 1]
+
+
 def test_chaining_by_force():
     rng = random.Random(2)
     for _ in range(60):
