@@ -677,6 +677,25 @@ def test_regions_without_bounds(spark, monkeypatch, order):
     assert got == sorted(map(str, passages.repeated_passages(df).collect())) and len(got) > 60
 
 
+def test_sources_come_before(spark, monkeypatch):
+    """Different seeds with equal short keys in one chunk, ids interleaved: no document after a row's own is its source."""
+    found = passages.Seeds.found
+
+    def collide(self):
+        found(self)
+        self.keys &= np.uint64(0xFFFFFFFF000000FF)
+        return self
+
+    monkeypatch.setattr(passages.Seeds, "found", collide)
+    rng = random.Random(16)
+    words = [f"w{i}" for i in range(3000)]
+    parts = [rng.choices(words, k=40) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=5) + parts[i % 60] + rng.choices(words, k=5))) for i in range(180)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, F.col("doc_id") * 7 % 11)
+    got = passages.repeated_passages(df).collect()
+    assert all(r["src_doc_id"] < r["doc_id"] for r in got) and len(got) > 10
+
+
 def test_among():
     rng = np.random.default_rng(15)
     for kind in (np.uint32, np.uint64):
